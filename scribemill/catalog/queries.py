@@ -41,8 +41,8 @@ def query(fn: Query) -> Query:
 def corpus_clean(spark, sf):
     docs = i.titled_documents(spark, sf)
     unique = corpus.first_per_title(extract.long_enough(docs))
-    cleaned = ft.truncate(ft.clean_text(i.noted_text()))
-    return unique.select(F.col("seq").alias("doc_id"), "source", cleaned.alias("text"))
+    cleaned = unique.withColumn("text", ft.clean_text(i.noted_text()))
+    return cleaned.select(F.col("seq").alias("doc_id"), "source", ft.truncate(F.col("text")).alias("text"))
 
 
 @query

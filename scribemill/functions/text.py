@@ -105,26 +105,26 @@ def chat_text(instruction: Column, output: Column) -> Column:
 
 def py_float_text(c: Column) -> Column:
     """A double as Python prints it: positional from 1e-4 up to 1e16, else ``1e-05`` style."""
-    java = c.cast("string")
-    sign = F.when(java.startswith("-"), "-").otherwise("")
+    java = c.cast("string")  # one digit before the point when it has an exponent
     part = lambda g: F.regexp_extract(java, r"^-?(\d)\.(\d+)E(-?\d+)$", g)
+    sign = F.when(java.startswith("-"), "-").otherwise("")
     exp = part(3).try_cast("int")
-    digits = F.concat(part(1), F.regexp_replace(part(2), "^0$", ""))
-    padded = F.rpad(digits, 16 + 17, "0")
-    tail = F.regexp_replace(padded.substr(exp + 2, F.lit(33)), "0+$", "")
-    tail = F.when(tail == "", "0").otherwise(tail)
-    plain = F.concat(sign, padded.substr(F.lit(1), exp + 1), F.lit("."), tail)
-    mantissa = F.concat(part(1), F.when(part(2) == "0", "").otherwise(F.concat(F.lit("."), part(2))))
+    fraction = F.regexp_replace(part(2), "^0$", "")
+    digits = F.concat(part(1), fraction)
+    padded = F.rpad(digits, 33, "0")
+    tail = F.regexp_replace(padded.substr(exp + 2, F.lit(33)), "(?<=.)0+$", "")
     power = F.concat(
-        F.when(exp < 0, "-").otherwise("+"), F.lpad(F.abs(exp).cast("string"), 2, "0")
+        F.when(exp < 0, "-").otherwise("+"),
+        F.when(F.abs(exp) < 10, "0").otherwise(""),
+        F.abs(exp).cast("string"),
     )
-    power = F.when(F.abs(exp) > 99, F.concat(F.when(exp < 0, "-").otherwise("+"), F.abs(exp).cast("string"))).otherwise(power)
+    mantissa = F.concat(part(1), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
     return (
         F.when(F.isnan(c), "nan")
         .when(c == float("inf"), "inf")
         .when(c == float("-inf"), "-inf")
-        .when(exp.isNull(), java)
+        .when(~java.contains("E"), java)
         .when(exp == -4, F.concat(sign, F.lit("0.000"), digits))
-        .when((exp >= 7) & (exp < 16), plain)
+        .when((exp >= 7) & (exp < 16), F.concat(sign, padded.substr(F.lit(1), exp + 1), F.lit("."), tail))
         .otherwise(F.concat(sign, mantissa, F.lit("e"), power))
     )

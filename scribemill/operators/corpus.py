@@ -98,13 +98,15 @@ def _below_rank(ranked: DataFrame, n: int, key: str) -> DataFrame:
     """The ``n`` rows with the smallest hash, without sorting the table in one place.
 
     Counts per 16-bit hash prefix give the prefix in which rank ``n`` falls, a
-    second round refines it to 32 bits. Rows below it are kept where they are;
-    only rows that share all 32 bits with the bound are ranked among themselves.
+    second round refines it to 32 bits. Only rows that share all 32 bits with
+    the bound are ranked, by key alone; the last of them that is wanted is the
+    bound up to which the table is kept. Whole rows are never shuffled.
     """
+    keys = ranked.select("__h", key)
     low, need = F.lit(""), F.lit(n).cast("long")
     for digits in (4, 8):
         counts = (
-            ranked.where(F.substring("__h", 1, digits - 4) == low)
+            keys.where(F.substring("__h", 1, digits - 4) == low)
             .groupBy(F.substring("__h", 1, digits).alias("p"))
             .agg(F.count(F.lit(1)).alias("n"))
         )
@@ -113,18 +115,15 @@ def _below_rank(ranked: DataFrame, n: int, key: str) -> DataFrame:
         found = counts.withColumns({"before": before, "need": need}).where(
             (F.col("before") < F.col("need")) & (F.col("need") <= F.col("before") + F.col("n"))
         )
-        # No such prefix: the table is smaller than n, and "g" sorts above every hash.
-        bound = found.agg(
-            F.coalesce(F.max("p"), F.lit("g")).alias("low"),
-            F.coalesce(F.max(F.col("need") - F.col("before")), F.lit(0)).alias("need"),
-        )
-        low, need = bound.select("low").scalar(), bound.select("need").scalar()
+        bound = found.agg(F.max(F.struct("p", (F.col("need") - F.col("before")).alias("need"))).alias("b")).select("b").scalar()
+        low, need = bound["p"], bound["need"]
     prefix = F.substring("__h", 1, 8)
-    below = ranked.where(prefix < low)
-    edge = ranked.where(prefix == low).withColumn(
+    edge = keys.where(prefix == low).withColumn(
         "__r", F.row_number().over(Window.partitionBy(prefix).orderBy("__h", key))
     )
-    return below.unionByName(edge.where(F.col("__r") <= need).drop("__r"))
+    last = edge.where(F.col("__r") <= need).agg(F.max(F.struct("__h", key)).alias("b")).select("b").scalar()
+    # There is no bound when the table has fewer than n rows.
+    return ranked.where(last.isNull() | (F.struct("__h", key) <= last))
 
 
 TITLE_REPORT_CHARS = 60

@@ -28,45 +28,42 @@ def attribute_name(name: Column) -> Column:
     return F.translate(name, ":/", "__")
 
 
-def _attribute_entries(metrics: Column) -> Column:
+def usable_metrics(metrics: Column) -> Column:
+    """The (MetricName, Value) entries that have a name and a value; an empty list when there is none."""
     named = F.filter(metrics, lambda m: (m["MetricName"] != "") & m["Value"].isNotNull())
-    return F.transform(
-        named,
-        lambda m: F.struct(attribute_name(m["MetricName"]).alias("key"), py_float_text(m["Value"]).alias("value")),
-    )
+    return F.coalesce(named, F.expr("cast(array() as array<struct<MetricName:string,Value:double>>)"))
 
 
-def metric_attributes(metrics: Column, reserved: Sequence[str] = BASE_FIELDS) -> Column:
-    """Map of attribute name to value text from a list of (MetricName, Value); later entries win.
+def metric_attributes(usable: Column, names: Column, reserved: Sequence[str] = BASE_FIELDS) -> Column:
+    """Map of attribute name to value text; later entries win.
 
-    Empty names and null values are dropped, and so are names that would
-    replace a field of the record itself, see ``rejected_metrics``.
+    ``names`` holds the attribute name of every entry. Names that would
+    replace a field of the record itself are left out.
     """
-    names = lambda e: F.transform(e, lambda x: x["key"])
-    entries = F.coalesce(_attribute_entries(metrics), F.expr("cast(array() as array<struct<key:string,value:string>>)"))
+    entries = F.transform(usable, lambda m, i: F.struct(F.get(names, i).alias("key"), m["Value"].alias("value")))
     last = F.filter(
-        entries,
-        lambda e, i: ~F.array_contains(F.slice(names(entries), i + 2, F.size(entries)), e["key"])
-        & ~e["key"].isin(*reserved),
+        entries, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"]) & ~e["key"].isin(*reserved)
     )
-    return F.map_from_entries(last)
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], py_float_text(e["value"]))))
 
 
-def rejected_metrics(metrics: Column, reserved: Sequence[str] = BASE_FIELDS) -> Column:
-    """Attribute names that were dropped because the record has a field of that name."""
-    names = F.transform(_attribute_entries(metrics), lambda e: e["key"])
-    return F.array_distinct(F.filter(F.coalesce(names, F.expr("cast(array() as array<string>)")), lambda n: n.isin(*reserved)))
+def reserved_names(names: Column, reserved: Sequence[str] = BASE_FIELDS) -> Column:
+    """Attribute names that are left out because the record has a field of that name."""
+    return F.array_distinct(F.filter(names, lambda n: n.isin(*reserved)))
 
 
 def job_records(descriptions: DataFrame, job_id: str = "job_id", written_at: str = "written_at") -> DataFrame:
     """One record per job description: base fields and the ``metrics`` map."""
-    return descriptions.select(
+    named = descriptions.withColumn("__m", usable_metrics(F.col("FinalMetricDataList"))).withColumn(
+        "__n", F.transform("__m", lambda m: attribute_name(m["MetricName"]))
+    )
+    return named.select(
         F.col(job_id).alias("job_id"),
         timestamp_text(F.col(written_at)).alias("timestamp"),
         F.coalesce(F.col("TrainingJobStatus"), F.lit(UNKNOWN)).alias("status"),
         F.col("ModelArtifacts.S3ModelArtifacts").alias("model_artifact"),
-        metric_attributes(F.col("FinalMetricDataList")).alias("metrics"),
-        rejected_metrics(F.col("FinalMetricDataList")).alias("rejected_metrics"),
+        metric_attributes(F.col("__m"), F.col("__n")).alias("metrics"),
+        reserved_names(F.col("__n")).alias("rejected_metrics"),
     )
 
 

@@ -71,14 +71,15 @@ def running_sums(
     )
     for i in range(len(shifts) - 2, -1, -1):
         keys = part + [buckets[i + 1]]
-        offsets = levels[i].join(offsets, keys).select(
+        offsets = levels[i].join(offsets, keys, "left").select(
             *part,
             buckets[i],
             *[(before(v, keys, [buckets[i]]) + F.col(f"__o_{v}")).alias(f"__o_{v}") for v in values.values()],
             *totals,
         )
+    # Left joins keep null checks out of the bucket sums, so all levels share one shuffle of them.
     keys = part + [buckets[0]]
-    return rows.join(offsets, keys).select(
+    return rows.join(offsets, keys, "left").select(
         *df.columns,
         *[
             (before(v, keys, [order, *ties]) + F.col(f"__o_{v}")).alias(name)
