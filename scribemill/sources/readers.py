@@ -6,22 +6,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from scribemill.functions.text import py_strip
 from scribemill.operators.corpus import exact_sample
 
 SPEECH_SCHEMA = "title string, date string, source string, url string, text string"
 PAIR_SCHEMA = "instruction string, input string, output string"
 PAGE_SCHEMA = "page_id long, url string, html string"
 JSONL_GLOB = "*.jsonl"
+LINE_ORDER = ("file", "block", "line")
 # Up to this many sampled files their paths are handed to the reader; beyond it
 # the whole folder is scanned and joined with the sampled paths.
 MAX_PATH_LIST = 10_000
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | StructType, glob: str | None = None) -> DataFrame:
+def _strict_records(lines: DataFrame, schema: str | StructType, *extra: str) -> DataFrame:
+    """Parse each non-blank line as exactly one JSON object.
+
+    A JSON reader stops after the first value, so glued or trailing text on a
+    line would be lost. The line is therefore also read as the only member of
+    an object, with its content skipped: no trailing text fits both readings.
+    """
+    ddl = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    options = {"mode": "FAILFAST", "allowSingleQuotes": "false"}
+    line = F.col("__line")
+    element = F.from_json(F.concat(F.lit("["), line, F.lit("]")), f"array<struct<{ddl}>>", options)
+    member = F.from_json(F.concat(F.lit('{"v":'), line, F.lit("}")), "struct<other:boolean>", options)
+    one = line.startswith("{") & (F.size(element) == 1) & member.isNotNull()
+    record = F.when(one, F.get(element, F.lit(0))).otherwise(
+        F.raise_error(F.concat(F.lit("malformed line: "), F.substring(line, 1, 200))).cast(f"struct<{ddl}>")
+    )
+    stripped = lines.withColumn("__line", py_strip(F.col("value"))).where(F.col("__line") != "")
+    return stripped.select(record.alias("__r"), *extra).select("__r.*", *extra)
+
+
+def _lines(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    return reader.text(path)
+
+
+def read_jsonl(
+    spark: SparkSession, path: str | list[str], schema: str | StructType, glob: str | None = None, strict: bool = True
+) -> DataFrame:
     """Records of a JSON Lines file or folder. Blank lines are skipped, a malformed line fails the job.
 
-    ``glob`` picks files of a folder by name, for example ``*.jsonl``.
+    ``glob`` picks files of a folder by name, for example ``*.jsonl``. With
+    ``strict`` off, text after the first object of a line is ignored, which
+    is faster and safe for files that Spark wrote.
     """
+    if strict:
+        return _strict_records(_lines(spark, path, glob), schema)
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -33,16 +66,13 @@ def read_jsonl_ordered(spark: SparkSession, path: str, schema: str | StructType,
 
     Files stay splittable: ``block`` is the start of the split, and ``line`` grows within a split.
     """
-    df = read_jsonl(spark, path, schema, glob)
-    return df.select(
-        *df.columns,
+    lines = _lines(spark, path, glob).select(
+        "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
-
-
-LINE_ORDER = ("file", "block", "line")
+    return _strict_records(lines, schema, *LINE_ORDER)
 
 
 def list_files(spark: SparkSession, path: str, glob: str = JSONL_GLOB) -> DataFrame:
@@ -63,9 +93,8 @@ def read_sampled_files(
     if n <= MAX_PATH_LIST:
         paths = [row.path for row in chosen.collect()]  # at most n names
         return read_jsonl(spark, paths, schema) if paths else spark.createDataFrame([], schema)
-    records = read_jsonl(spark, path, schema, glob)
-    named = records.select("*", F.col("_metadata.file_path").alias("path"))
-    return named.join(chosen, "path", "left_semi").select(*records.columns)
+    lines = _lines(spark, path, glob).select("value", F.col("_metadata.file_path").alias("path"))
+    return _strict_records(lines.join(chosen, "path", "left_semi"), schema)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
