@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scribemill.functions.binding import let
+
 DONE = "[DONE]"
 DATA_PREFIX = "data:"
 # Request limits and defaults.
@@ -14,13 +16,16 @@ MAX_TEMPERATURE = 2.0
 DEFAULT_MAX_TOKENS = 512
 DEFAULT_TEMPERATURE = 0.7
 
-# Whitespace that a browser's String.trim removes.
-_JS_SPACE = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+# The characters that a browser's String.trim removes.
+_JS_SPACE_CHARS = (
+    "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{_JS_SPACE}+|{_JS_SPACE}+$", "")
+    return F.btrim(c, F.lit(_JS_SPACE_CHARS))
 
 
 def encode_line(text: Column) -> Column:
@@ -43,18 +48,23 @@ def _json_token(data: Column) -> Column:
     in_object = F.from_json(
         F.concat(F.lit('{"v":'), data, F.lit("}")), "struct<v:struct<token:string>>", _STRICT_JSON
     )
-    same = (F.size(in_array) == 1) & F.get(in_array, F.lit(0))["token"].eqNullSafe(in_object["v"]["token"])
-    return F.when(same, in_object["v"]["token"])
+    both = F.struct(in_array.alias("a"), in_object["v"]["token"].alias("t"))
+    return let(
+        both, lambda b: F.when((F.size(b["a"]) == 1) & F.get(b["a"], F.lit(0))["token"].eqNullSafe(b["t"]), b["t"])
+    )
 
 
 def decode_line(line: Column) -> Column:
     """Token of a stream line, ``[DONE]`` for the end mark, null for any other line."""
-    trimmed = js_trim(line)
-    data = js_trim(F.substring(trimmed, len(DATA_PREFIX) + 1, 2**31 - 1))
-    return F.when(
-        trimmed.startswith(DATA_PREFIX),
-        F.when(data == DONE, F.lit(DONE)).when(data.startswith("{"), _json_token(data)),
-    )
+
+    def token(data: Column) -> Column:
+        return F.when(data == DONE, F.lit(DONE)).when(data.startswith("{"), _json_token(data))
+
+    def content(trimmed: Column) -> Column:
+        data = js_trim(F.substring(trimmed, len(DATA_PREFIX) + 1, 2**31 - 1))
+        return F.when(trimmed.startswith(DATA_PREFIX), let(data, token))
+
+    return let(js_trim(line), content)
 
 
 def payload(question: Column, max_tokens: Column | None = None, temperature: Column | None = None) -> Column:

@@ -10,10 +10,10 @@ from pyspark.sql.window import Window
 
 from scribemill.session import shared_dir
 
-# Keys per lowest bucket (2**13) and buckets per next level (2**16). A window
-# then never sees more than 8,192 keys or 65,536 bucket sums, whatever the table size.
+# Keys per lowest bucket (2**13) and buckets per next level (2**20). A window
+# then never sees more than 8,192 keys or a million bucket sums, whatever the table size.
 BUCKET_BITS = 13
-FAN_BITS = 16
+FAN_BITS = 20
 
 
 def _shifts(key_bits: int) -> list[int]:

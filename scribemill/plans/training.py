@@ -19,7 +19,7 @@ from scribemill.operators.pairs import (
     token_totals,
 )
 from scribemill.operators.prefix import dense_index, dense_index_by
-from scribemill.operators.trainset import BLOCK_TOKENS, packed_slices, training_texts
+from scribemill.operators.trainset import BLOCK_TOKENS, count_whitespace_tokens, packed_slices, training_texts
 from scribemill.session import stage
 from scribemill.sources.readers import JSONL_GLOB, LINE_ORDER, PAIR_SCHEMA, read_jsonl_ordered
 
@@ -58,7 +58,7 @@ def load_training_set(spark: SparkSession, path: str, glob: str | None = JSONL_G
 def pack_folder(
     spark: SparkSession,
     path: str,
-    count_tokens: Callable[[Column], Column] | None = None,
+    count_tokens: Callable[[Column], Column] = count_whitespace_tokens,
     block_tokens: int = BLOCK_TOKENS,
     glob: str | None = JSONL_GLOB,
 ) -> DataFrame:
