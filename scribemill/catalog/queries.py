@@ -318,7 +318,7 @@ def packed_slices(spark, sf):
 @query
 def packed_blocks(spark, sf):
     docs = i.table(spark, sf, "documents")
-    blocks = trainset.block_tokens(docs, trainset.packed_slices(docs, "doc_id"), "doc_id")
+    blocks = trainset.packed_blocks(docs, "doc_id", count_tokens=trainset.count_whitespace_tokens)
     return blocks.select("block", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("content_md5"))
 
 

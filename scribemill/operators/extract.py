@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scribemill.functions.text import MIN_TEXT_CHARS
 from scribemill.operators.markup import Node, parse
 from scribemill.operators.skew import spread_join
+from scribemill.session import stage
 
 _ITEMS = "array<struct<url:string,title:string,date:string>>"
 
@@ -90,6 +91,7 @@ def until_first_gap(
 
     The crawl stops there, so later pages do not count even if they have rows.
     A page is good when ``has_items`` holds, by default when ``items`` is not empty.
+    ``pages`` is read twice; stage it first if it is costly.
     """
     good = F.coalesce(F.size("items") > 0 if has_items is None else has_items, F.lit(False))
     numbered = pages.select(source, F.col(page_no).cast("long").alias("__page"), good.alias("__good"))
@@ -114,7 +116,8 @@ def until_first_gap(
         .groupBy(source)
         .agg(F.min("page").alias("__stop"))
     )
-    kept = spread_join(pages, stops, [source], spread_by=page_no)
+    # One row per source: staged, so that its true size decides how it is joined.
+    kept = spread_join(pages, stage(stops, "stops"), [source], spread_by=page_no)
     return kept.where((F.col(page_no) >= first_page) & (F.col(page_no) < F.col("__stop"))).select(*pages.columns)
 
 

@@ -12,30 +12,44 @@ from pyspark.sql.window import Window
 from scribemill.functions.answers import caller, client_view, invalid_reason, service_status
 from scribemill.functions.text import strip_control_tokens
 from scribemill.operators.skew import spread_join
+from scribemill.session import stage
 
 # Requests per caller and window.
 RATE_LIMIT = 10
 RATE_WINDOW = "1 minute"
 
 
+# Above this rank Spark no longer limits groups before the shuffle.
+_PLANNER_RANK = 1000
+_SALTS = 64
+
+
 def _over_limit(calls: DataFrame, group: list[str], limit: int, ts: str, request_id: str) -> DataFrame:
     """Per group with more than ``limit`` calls, the first call that is too many.
 
     The row_number filter is applied before the shuffle as well, so a task
     sends at most ``limit + 1`` rows of a group, however large the group is.
+    For large limits the same is done by ranking within salts first.
     """
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(ts, request_id))
-    return (
-        calls.select(*group, ts, request_id)
-        .withColumn("__rank", rank)
-        .where(F.col("__rank") <= limit + 1)
-        .where(F.col("__rank") == limit + 1)
-        .select(*group, F.struct(F.col(ts).alias("ts"), F.col(request_id).alias("id")).alias("__cut"))
-    )
 
+    def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(ts, request_id))
+        return df.withColumn("__rank", rank).where(F.col("__rank") <= limit + 1)
 
-def _mark_over_limit(calls: DataFrame, group: list[str], limit: int, ts: str, request_id: str, name: str) -> DataFrame:
-    cuts = _over_limit(calls, group, limit, ts, request_id)
+    rows = calls.select(*group, ts, request_id)
+    if limit >= _PLANNER_RANK:
+        salted = rows.withColumn("__salt", F.pmod(F.xxhash64(request_id), F.lit(_SALTS)))
+        rows = first_rows(salted, [*group, "__salt"]).drop("__salt", "__rank")
+    last = first_rows(rows, group).where(F.col("__rank") == limit + 1)
+    return last.select(*group, F.struct(F.col(ts).alias("ts"), F.col(request_id).alias("id")).alias("__cut"))
+
+
+def _mark_over_limit(
+    calls: DataFrame, group: list[str], limit: int, ts: str, request_id: str, name: str, counted: Column | None = None
+) -> DataFrame:
+    # Usually few groups go over the limit. The staged cuts show their true
+    # size, so the calls need no shuffle when the cuts can be broadcast.
+    cuts = stage(_over_limit(calls if counted is None else calls.where(counted), group, limit, ts, request_id), "cuts")
     at = F.struct(F.col(ts).alias("ts"), F.col(request_id).alias("id"))
     return spread_join(calls, cuts, group, "left", spread_by=request_id).select(
         *calls.columns, F.coalesce(at < F.col("__cut"), F.lit(True)).alias(name)
@@ -50,13 +64,15 @@ def rate_limit(
     ts: str = "ts",
     request_id: str = "request_id",
     name: str = "admitted",
+    counted: Column | None = None,
 ) -> DataFrame:
     """Add whether a call is among the first ``limit`` of its caller in its calendar window.
 
-    Rejected calls count towards the limit.
+    Rejected calls count towards the limit. ``counted`` restricts which calls
+    count at all; the mark of the others has no meaning.
     """
     windowed = calls.withColumn("__w", F.window(ts, window)["start"])
-    return _mark_over_limit(windowed, [by, "__w"], limit, ts, request_id, name).drop("__w")
+    return _mark_over_limit(windowed, [by, "__w"], limit, ts, request_id, name, counted).drop("__w")
 
 
 def rate_limit_anchored(
@@ -135,7 +151,7 @@ def verdicts(
     """
     checked = validate(log)
     reaches = F.col(authorized) & F.col("reason").isNull()
-    limited = rate_limit(checked.where(reaches), limit, window).select("request_id", "admitted")
+    limited = rate_limit(checked, limit, window, counted=reaches)
     status: Column = (
         F.when(~F.coalesce(F.col(authorized), F.lit(False)), 401)
         .when(F.col("reason").isNotNull(), 422)
@@ -143,7 +159,7 @@ def verdicts(
         .when(F.col("clean_question") == "", 400)
         .otherwise(service_status(F.col(error)))
     )
-    return checked.join(limited, "request_id", "left").select(*checked.columns, status.alias("status"))
+    return limited.select(*checked.columns, status.alias("status"))
 
 
 def outcome_report(answered: DataFrame, status: str = "status") -> DataFrame:

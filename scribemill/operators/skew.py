@@ -1,4 +1,4 @@
-"""Lookup join that spreads hot keys."""
+"""Lookup join that avoids shuffling beside a small table and spreads hot keys beside a large one."""
 
 from __future__ import annotations
 
@@ -12,6 +12,17 @@ HOT_ROWS = 1_000_000
 SALTS = 64
 
 
+def small_enough(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate of ``df`` is within the broadcast limit of the session.
+
+    For a staged table the estimate is its file size. Filters and aggregates
+    are estimated no smaller than the files below them allow.
+    """
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
@@ -23,13 +34,16 @@ def spread_join(
 ) -> DataFrame:
     """Join ``left`` with ``right``, which has one row per key, keeping hot keys off one task.
 
-    Keys with more than ``hot_rows`` left rows get a salt on the left and one
-    copy per salt on the right; all other keys are joined as they are. There
-    are fewer than ``rows / hot_rows`` hot keys, so that list is small enough to
-    broadcast: a million keys at a trillion rows. ``spread_by`` is a column of ``left`` that
-    tells rows of one key apart.
+    A ``right`` within the broadcast limit is broadcast and ``left`` stays where it is.
+    Otherwise keys with more than ``hot_rows`` left rows get a salt on the left
+    and one copy per salt on the right; all other keys are joined as they are.
+    There are fewer than ``rows / hot_rows`` hot keys, so their list is small:
+    a million keys at a trillion rows. ``spread_by`` is a column of ``left`` that tells
+    rows of one key apart.
     """
     on = list(on)
+    if small_enough(right):
+        return left.join(F.broadcast(right), on, how)
     hot = (
         left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > hot_rows)

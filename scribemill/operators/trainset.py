@@ -39,6 +39,32 @@ def count_whitespace_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_TOKEN))
 
 
+def _placed(
+    texts: DataFrame, order: str, count_tokens: Callable[[Column], Column], text: str, key_bits: int
+) -> DataFrame:
+    """(order, __n, __start): tokens of each text with its separator, and tokens before it.
+
+    Counts are staged, so the texts are tokenised once and only counts are shuffled.
+    """
+    sized = texts.select(order, (count_tokens(F.col(text)) + 1).cast("long").alias("__n"))
+    return running_sums(stage(sized, "token-counts"), order, {"__start": F.col("__n")}, key_bits=key_bits)
+
+
+def _slices(block_tokens: int) -> Column:
+    """The (block, lo, hi) entries of one placed text."""
+    size = F.lit(block_tokens).cast("long")
+    start, end = F.col("__start"), F.col("__start") + F.col("__n")
+    blocks = F.sequence(F.call_function("div", start, size), F.call_function("div", end - 1, size))
+    return F.transform(
+        blocks,
+        lambda b: F.struct(
+            b.alias("block"),
+            F.greatest(b * size - start, F.lit(0)).alias("lo"),
+            F.least((b + 1) * size - start, F.col("__n")).alias("hi"),
+        ),
+    )
+
+
 def packed_slices(
     texts: DataFrame,
     order: str,
@@ -46,49 +72,43 @@ def packed_slices(
     text: str = "text",
     block_tokens: int = BLOCK_TOKENS,
     key_bits: int = 45,
-    staged: bool = False,
 ) -> DataFrame:
     """Where each text lands when all texts, one separator after each, are cut every ``block_tokens``.
 
     One row per (block, text): tokens ``lo`` to ``hi`` (exclusive) of the text and its
-    separator are in ``block``. Only (order, token count) pairs are shuffled.
-    Set ``staged`` when counting calls a Python tokenizer, so that it runs once.
+    separator are in ``block``.
     """
-    sized = texts.select(order, (count_tokens(F.col(text)) + 1).cast("long").alias("__n"))
-    if staged:
-        sized = stage(sized, "token-counts")
-    size = F.lit(block_tokens).cast("long")
-    placed = running_sums(sized, order, {"__start": F.col("__n")}, key_bits=key_bits)
-    start, end = F.col("__start"), F.col("__start") + F.col("__n")
-    first, last = F.call_function("div", start, size), F.call_function("div", end - 1, size)
-    return placed.select(order, "__start", "__n", F.explode(F.sequence(first, last)).alias("block")).select(
-        "block",
-        order,
-        F.greatest(F.col("block") * size - start, F.lit(0)).alias("lo"),
-        F.least((F.col("block") + 1) * size - start, F.col("__n")).alias("hi"),
-    )
+    placed = _placed(texts, order, count_tokens, text, key_bits)
+    return placed.select(order, F.explode(_slices(block_tokens)).alias("s")).select("s.block", order, "s.lo", "s.hi")
 
 
-def block_tokens(
+def packed_blocks(
     texts: DataFrame,
-    slices: DataFrame,
     order: str,
     tokenize: Callable[[Column], Column] = whitespace_tokens,
+    count_tokens: Callable[[Column], Column] | None = None,
     separator: str = "</s>",
     text: str = "text",
-    block_size: int = BLOCK_TOKENS,
+    block_tokens: int = BLOCK_TOKENS,
     keep_partial: bool = True,
+    key_bits: int = 45,
 ) -> DataFrame:
-    """The tokens of every block. A block holds at most ``block_size`` tokens, so groups are small."""
+    """The tokens of every block. A block holds at most ``block_tokens`` tokens, so groups are small.
+
+    The texts are shuffled once, to meet their place in the stream, and their
+    pieces once, to meet in blocks.
+    """
+    count = count_tokens or (lambda c: F.size(tokenize(c)))
+    placed = _placed(texts, order, count, text, key_bits)
     tokens = F.concat(tokenize(F.col(text)), F.array(F.lit(separator)))
-    pieces = slices.join(texts.select(order, tokens.alias("__t")), order).select(
-        "block",
-        F.struct(F.col(order), F.slice("__t", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("t")).alias("piece"),
+    cut = texts.select(order, text).join(placed, order).select(
+        order, tokens.alias("__t"), F.explode(_slices(block_tokens)).alias("s")
     )
-    blocks = pieces.groupBy("block").agg(F.array_sort(F.collect_list("piece")).alias("pieces")).select(
-        "block", F.flatten(F.col("pieces.t")).alias("tokens")
+    piece = F.struct(F.col(order), F.slice("__t", F.col("s.lo") + 1, F.col("s.hi") - F.col("s.lo")).alias("t"))
+    blocks = cut.groupBy("s.block").agg(F.array_sort(F.collect_list(piece)).alias("__p")).select(
+        "block", F.flatten(F.col("__p.t")).alias("tokens")
     )
-    return blocks if keep_partial else blocks.where(F.size("tokens") == block_size)
+    return blocks if keep_partial else blocks.where(F.size("tokens") == block_tokens)
 
 
 def readiness(pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from scribemill.functions.text import title_matches
 from scribemill.operators import corpus
 from scribemill.operators.extract import CardListing, TableListing
 from scribemill.operators.prefix import dense_index, dense_index_by, running_sums
-from scribemill.operators.skew import spread_join
+from scribemill.operators.skew import small_enough, spread_join
 from scribemill.plans.corpus import Source, build_corpus, numbered
 
 
@@ -80,13 +80,30 @@ def test_dense_positions(spark):
     assert [r.position for r in placed] == list(range(2000))
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_spread_join_equals_join(spark, how):
+def test_spread_join_equals_join(spark, how, no_broadcast):
     left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 40).alias("k"), "id")
     right = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     plain = sorted(map(tuple, left.join(right, ["k"], how).select("k", "id", "v").collect()), key=str)
     spread = spread_join(left, right, ["k"], how, spread_by="id", hot_rows=200, salts=8)
     assert sorted(map(tuple, spread.select("k", "id", "v").collect()), key=str) == plain
+    assert not small_enough(right)
+
+
+def test_only_small_tables_are_broadcast(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "small"))
+    spark.range(3_000_000).select("id", F.rand(1).alias("r")).write.parquet(str(tmp_path / "large"))
+    small, large = (spark.read.parquet(str(tmp_path / n)) for n in ("small", "large"))
+    assert small_enough(small) and not small_enough(large)
+    assert not small_enough(large.where("r < 0.1").groupBy("id").count())
 
 
 def test_lookup_keeps_duplicates_and_loses_missing_pages(spark):

@@ -75,6 +75,20 @@ def test_anchored_windows(spark):
     assert {r.request_id: r.admitted for r in got.collect()} == expected
 
 
+def test_limits_beyond_the_planners_and_large_cut_tables(spark, monkeypatch):
+    calls, expected = random_calls(spark)
+    plain = {r.request_id: r.admitted for r in requests.rate_limit(calls, 4, "1 minute").collect()}
+    monkeypatch.setattr(requests, "_PLANNER_RANK", 0)
+    assert {r.request_id: r.admitted for r in requests.rate_limit(calls, 4, "1 minute").collect()} == plain
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.request_id: r.admitted for r in requests.rate_limit(calls, 4, "1 minute").collect()} == plain
+        assert {r.request_id: r.admitted for r in requests.rate_limit_anchored(calls, 4, 60).collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_decoding_lines(spark):
     lines = ['data: {"token": "hi"}', "data: [DONE]", "event: x", "data: {bad", 'data: {"other": 1}', "data:", '  data:   {"token": " a "}  ',
              'data:{"token":"x"}', 'data: {"token": null}', 'data: {"token": "a"} tail', "data: {'token': 'a'}", 'data: "s"', "data: 5",

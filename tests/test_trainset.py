@@ -18,13 +18,14 @@ def test_slices_cover_every_token_once(spark):
     rng = random.Random(3)
     sizes = [rng.choice([0, 1, 5, 15, 16, 17, 40, 100]) for _ in range(200)]
     df = texts(spark, sizes)
-    slices = trainset.packed_slices(df, "k", block_tokens=16)
     stream = [t for i, n in enumerate(sizes) for t in [f"w{i}_{j}" for j in range(n)] + ["</s>"]]
-    blocks = trainset.block_tokens(df, slices, "k", block_size=16).orderBy("block").collect()
+    blocks = trainset.packed_blocks(df, "k", block_tokens=16).orderBy("block").collect()
     assert [b.block for b in blocks] == list(range(-(-len(stream) // 16)))
     assert [t for b in blocks for t in b.tokens] == stream
     assert all(len(b.tokens) == 16 for b in blocks[:-1])
-    full = trainset.block_tokens(df, slices, "k", block_size=16, keep_partial=False)
+    slices = trainset.packed_slices(df, "k", block_tokens=16).collect()
+    assert sum(s.hi - s.lo for s in slices) == len(stream)
+    full = trainset.packed_blocks(df, "k", block_tokens=16, keep_partial=False)
     assert full.count() == len(stream) // 16
 
 
@@ -34,7 +35,7 @@ def test_tokenizer_is_a_parameter_and_may_be_python(spark):
         return s.str.len()
 
     df = texts(spark, [3, 4])
-    got = trainset.packed_slices(df, "k", lambda c: chars(c), block_tokens=10, staged=True)
+    got = trainset.packed_slices(df, "k", lambda c: chars(c), block_tokens=10)
     assert {tuple(r) for r in got.collect()} == {(0, 0, 0, 10), (1, 0, 10, 15), (1, 1, 0, 5), (2, 1, 5, 15), (3, 1, 15, 20)}
 
 
