@@ -110,9 +110,10 @@ LISTED = """listed AS (
   SELECT doc_id, lang, source AS date, text, left(text, 40) AS raw_title, doc_id // 100 AS page_no,
     CAST(row_number() OVER (PARTITION BY lang = 'en', doc_id // 100 ORDER BY doc_id) - 1 AS INTEGER) AS row_no
   FROM documents)"""
+# An ampersand entity counts without its semicolon too, as in HTML.
 UNESCAPE = (
-    "replace(replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'),"
-    " '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+    "regexp_replace(replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'),"
+    " '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
 )
 
 ORACLES: dict[str, str] = {
