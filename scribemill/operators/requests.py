@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scribemill.functions.answers import caller, client_view, invalid_reason, service_status
 from scribemill.functions.text import strip_control_tokens
+from scribemill.operators.anchored import BLOCK_WINDOWS, label_windows
 from scribemill.operators.skew import spread_join
 from scribemill.session import stage
 
@@ -24,6 +22,11 @@ _PLANNER_RANK = 1000
 _SALTS = 64
 
 
+def _group_key(by: str) -> Column:
+    """Never null, so that calls without a caller are limited together."""
+    return F.coalesce(F.col(by).cast("string"), F.lit(""))
+
+
 def _over_limit(calls: DataFrame, group: list[str], limit: int, ts: str, request_id: str) -> DataFrame:
     """Per group with more than ``limit`` calls, the first call that is too many.
 
@@ -71,8 +74,8 @@ def rate_limit(
     Rejected calls count towards the limit. ``counted`` restricts which calls
     count at all; the mark of the others has no meaning.
     """
-    windowed = calls.withColumn("__w", F.window(ts, window)["start"])
-    return _mark_over_limit(windowed, [by, "__w"], limit, ts, request_id, name, counted).drop("__w")
+    windowed = calls.withColumns({"__k": _group_key(by), "__w": F.window(ts, window)["start"]})
+    return _mark_over_limit(windowed, ["__k", "__w"], limit, ts, request_id, name, counted).drop("__k", "__w")
 
 
 def rate_limit_anchored(
@@ -83,49 +86,25 @@ def rate_limit_anchored(
     ts: str = "ts",
     request_id: str = "request_id",
     name: str = "admitted",
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """The same with windows that start at a caller's first call and restart at the first call after their end.
 
-    Window starts form a chain, so a stretch of calls is walked in time order
-    with two values of state, streaming through the task. A pause of one
-    window breaks the chain: stretches between pauses are separate units of
-    work. Pauses are found on (caller, window-sized cell) summaries, one row per cell of
-    the time line and caller. Only distinct call times are walked.
+    ``request_id`` is unique. Only (caller, time, id) rows go through the
+    window labelling; the calls themselves meet the list of rejected ids.
     """
     width = window_seconds * 1_000_000
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    placed = calls.withColumns({"__t": micros, "__cell": F.call_function("div", micros, F.lit(width).cast("long"))})
-    cells = placed.groupBy(by, "__cell").agg(F.min("__t").alias("lo"), F.max("__t").alias("hi"))
-    line = Window.partitionBy(by).orderBy("__cell")
-    starts = F.coalesce(F.col("lo") - F.lag("hi").over(line) >= width, F.lit(True)).cast("int")
-    stretches = (
-        cells.withColumn("__start", starts)
-        .withColumn("__stretch", F.sum("__start").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        .select(by, "__cell", "__stretch")
+    narrow = calls.select(
+        _group_key(by).alias("__k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"), F.col(request_id).alias("__id")
     )
-    times = (
-        placed.select(by, "__cell", "__t").distinct()
-        .join(stretches, [by, "__cell"])
-        .select(by, "__stretch", "__t")
-        .repartition(by, "__stretch")
-        .sortWithinPartitions(by, "__stretch", "__t")
+    # Read twice: for the cut-offs and for the calls beyond them.
+    labelled = stage(label_windows(narrow, width, block_windows), "windows")
+    marked = _mark_over_limit(labelled, ["__k", "__anchor"], limit, "__t", "__id", "__ok")
+    rejected = stage(marked.where(~F.col("__ok")).select(F.col("__id").alias(request_id), F.lit(False).alias("__ok")), "rejected")
+    return spread_join(calls, rejected, [request_id], "left", spread_by=request_id).select(
+        *calls.columns, F.coalesce("__ok", F.lit(True)).alias(name)
     )
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, anchor = None, 0
-        for batch in batches:
-            anchors = []
-            for key, stretch, t in zip(batch[by], batch["__stretch"], batch["__t"]):
-                if (key, stretch) != unit or t >= anchor + width:
-                    unit, anchor = (key, stretch), t
-                anchors.append(anchor)
-            yield pd.DataFrame({by: batch[by], "__t": batch["__t"], "__anchor": anchors})
-
-    key_type = calls.schema[by].dataType.simpleString()
-    anchors = times.mapInPandas(walk, f"`{by}` {key_type}, __t long, __anchor long")
-    anchored = spread_join(placed, anchors, [by, "__t"], spread_by=request_id)
-    return _mark_over_limit(anchored, [by, "__anchor"], limit, ts, request_id, name).select(*calls.columns, name)
-
 
 def validate(log: DataFrame) -> DataFrame:
     """Add ``caller``, ``clean_question`` and ``reason`` (null when the request is valid)."""

@@ -4,10 +4,15 @@ import datetime
 import json
 import random
 
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scribemill.functions import answers as fa
 from scribemill.operators import answers, requests
+from scribemill.operators.anchored import last_starts, starts_from
 
 T0 = datetime.datetime(2024, 1, 1, 10, 0, 30)
 LOG = ("request_id long, ts timestamp, user_id string, client_addr string, authorized boolean, question string, "
@@ -68,11 +73,43 @@ def random_calls(spark, seed=4):
     return spark.createDataFrame(rows, "caller string, ts timestamp, request_id long").repartition(5), expected
 
 
-def test_anchored_windows(spark):
+@pytest.mark.parametrize("block_windows, batch", [(1, 10_000), (3, 10_000), (32, 10_000), (3, 7)])
+def test_anchored_windows(spark, block_windows, batch):
     calls, expected = random_calls(spark)
-    got = requests.rate_limit_anchored(calls, 4, 60)
-    assert got.columns == ["caller", "ts", "request_id", "admitted"]
-    assert {r.request_id: r.admitted for r in got.collect()} == expected
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = requests.rate_limit_anchored(calls, 4, 60, block_windows=block_windows)
+        assert got.columns == ["caller", "ts", "request_id", "admitted"]
+        assert {r.request_id: r.admitted for r in got.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_calls_without_a_caller_are_limited_together(spark):
+    calls = spark.createDataFrame([(None, at(i), i) for i in range(5)], "caller string, ts timestamp, request_id long")
+    for got in (requests.rate_limit(calls, 2), requests.rate_limit_anchored(calls, 2)):
+        assert [r.admitted for r in got.orderBy("request_id").collect()] == [True, True, False, False, False]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=60), st.integers(1, 40), st.integers(1, 4))
+def test_block_walk_equals_plain_walk(gaps, width, blocks):
+    t = np.unique(np.cumsum(gaps))
+    plain = []
+    for x in t:
+        if not plain or x >= plain[-1] + width:
+            plain.append(int(x))
+    walked, anchor = [], -(10**9)
+    for part in np.array_split(t, blocks):
+        if len(part):
+            first, last = last_starts(part, width)
+            at_ = int(np.searchsorted(first, anchor + width))
+            if at_ < len(first):
+                walked += starts_from(part, int(first[at_]), width).tolist()
+                anchor = int(last[at_])
+                assert anchor == walked[-1]
+    assert walked == plain
 
 
 def test_limits_beyond_the_planners_and_large_cut_tables(spark, monkeypatch):
