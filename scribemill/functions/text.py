@@ -9,8 +9,6 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scribemill.functions.binding import let
-
 # Bracketed stage notes removed from transcripts, in this order.
 STAGE_NOTES = ("applause", "laughter", "crosstalk")
 # Limits of the corpus and of one generation prompt, in characters.
@@ -34,6 +32,7 @@ def py_strip(c: Column) -> Column:
 
 # Most texts need none of the replacements below. A plain substring test is many
 # times faster than a regular expression that finds nothing, so it comes first.
+# Generated code computes the repeated inner expressions once.
 
 
 def remove_notes(c: Column, notes: Sequence[str] = STAGE_NOTES) -> Column:
@@ -41,28 +40,18 @@ def remove_notes(c: Column, notes: Sequence[str] = STAGE_NOTES) -> Column:
 
     Separate passes matter: deleting an inner note may complete an outer one.
     """
-
-    def passes(text: Column) -> Column:
-        out = text
-        for note in notes:
-            out = F.regexp_replace(out, rf"\[(?iu:{re.escape(note)})\]", "")
-        return F.when(text.contains("["), out).otherwise(text)
-
-    return let(c, passes)
+    out = c
+    for note in notes:
+        out = F.regexp_replace(out, rf"\[(?iu:{re.escape(note)})\]", "")
+    return F.when(c.contains("["), out).otherwise(c)
 
 
 def squeeze_space(c: Column) -> Column:
     """At most one empty line, then runs of blanks to one space, then strip."""
-
-    def lines(text: Column) -> Column:
-        return F.when(text.contains("\n\n\n"), F.regexp_replace(text, r"\n{3,}", "\n\n")).otherwise(text)
-
-    def blanks(text: Column) -> Column:
-        # A single space already is what it becomes, so only other runs are matched.
-        loose = text.contains("  ") | text.contains("\t")
-        return F.when(loose, F.regexp_replace(text, r"[ \t]{2,}|\t", " ")).otherwise(text)
-
-    return py_strip(let(let(c, lines), blanks))
+    c = F.when(c.contains("\n\n\n"), F.regexp_replace(c, r"\n{3,}", "\n\n")).otherwise(c)
+    # A single space already is what it becomes, so only other runs are matched.
+    loose = c.contains("  ") | c.contains("\t")
+    return py_strip(F.when(loose, F.regexp_replace(c, r"[ \t]{2,}|\t", " ")).otherwise(c))
 
 
 def clean_text(c: Column, notes: Sequence[str] = STAGE_NOTES) -> Column:
@@ -71,9 +60,7 @@ def clean_text(c: Column, notes: Sequence[str] = STAGE_NOTES) -> Column:
 
 def truncate(c: Column, max_chars: int = MAX_PROMPT_CHARS, note: str = TRUNCATION_NOTE) -> Column:
     """Cap at ``max_chars`` code points; only a text that was cut gets the note."""
-    return let(
-        c, lambda t: F.when(F.length(t) > max_chars, F.concat(F.substring(t, 1, max_chars), F.lit(note))).otherwise(t)
-    )
+    return F.when(F.length(c) > max_chars, F.concat(F.substring(c, 1, max_chars), F.lit(note))).otherwise(c)
 
 
 def title_key(c: Column) -> Column:
@@ -109,12 +96,8 @@ def render(template: str, missing: str = "Unknown", **fields: Column) -> Column:
 
 def strip_control_tokens(c: Column) -> Column:
     """Remove chat control tokens in any letter case in one pass, then strip."""
-
-    def tokens(text: Column) -> Column:
-        found = text.contains("[") | text.contains("<")
-        return F.when(found, F.regexp_replace(text, f"(?iu){CONTROL_TOKENS}", "")).otherwise(text)
-
-    return py_strip(let(c, tokens))
+    found = c.contains("[") | c.contains("<")
+    return py_strip(F.when(found, F.regexp_replace(c, f"(?iu){CONTROL_TOKENS}", "")).otherwise(c))
 
 
 def _required(c: Column, name: str) -> Column:

@@ -52,8 +52,10 @@ def reserved_names(names: Column, reserved: Sequence[str] = BASE_FIELDS) -> Colu
     return F.array_distinct(F.filter(names, lambda n: n.isin(*reserved)))
 
 
-def job_records(descriptions: DataFrame, job_id: str = "job_id", written_at: str = "written_at") -> DataFrame:
-    """One record per job description: base fields and the ``metrics`` map."""
+def job_records(
+    descriptions: DataFrame, job_id: str = "job_id", written_at: str = "written_at", keep: Sequence[str] = ()
+) -> DataFrame:
+    """One record per job description: base fields, the ``metrics`` map and the columns to ``keep``."""
     named = descriptions.withColumn("__m", usable_metrics(F.col("FinalMetricDataList"))).withColumn(
         "__n", F.transform("__m", lambda m: attribute_name(m["MetricName"]))
     )
@@ -64,17 +66,26 @@ def job_records(descriptions: DataFrame, job_id: str = "job_id", written_at: str
         F.col("ModelArtifacts.S3ModelArtifacts").alias("model_artifact"),
         metric_attributes(F.col("__m"), F.col("__n")).alias("metrics"),
         reserved_names(F.col("__n")).alias("rejected_metrics"),
+        *keep,
     )
 
 
-def registry_records(models: DataFrame, name: str = "model_name", arn: str = "model_arn", written_at: str = "written_at") -> DataFrame:
+def registry_records(
+    models: DataFrame,
+    name: str = "model_name",
+    arn: str = "model_arn",
+    written_at: str = "written_at",
+    prefix: str = REGISTRY_PREFIX,
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """One record per imported model for the same table."""
     return models.select(
-        F.concat(F.lit(REGISTRY_PREFIX), F.col(name)).alias("job_id"),
+        F.concat(F.lit(prefix), F.col(name)).alias("job_id"),
         timestamp_text(F.col(written_at)).alias("timestamp"),
         F.lit("Completed").alias("status"),
         F.col(arn).alias("bedrock_model_arn"),
         F.col(name).alias("model_name"),
+        *keep,
     )
 
 

@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from scribemill.operators.jobs import job_records, registry_records
 from scribemill.operators.requests import RATE_LIMIT, RATE_WINDOW, outcome_report, verdicts
 from scribemill.sources.writers import put_records
 
 
-def record_jobs(descriptions: DataFrame, base: str) -> DataFrame:
-    """Put one record per job description; descriptions carry ``written_at`` and ``put_no``."""
-    records = job_records(descriptions).drop("rejected_metrics")
-    return put_records(records.withColumn("put_no", F.monotonically_increasing_id()), base)
+def record_jobs(descriptions: DataFrame, base: str, order: str = "put_no") -> DataFrame:
+    """Put one record per job description; ``order`` numbers the puts."""
+    return put_records(job_records(descriptions, keep=[order]).drop("rejected_metrics"), base, order=order)
 
 
-def record_models(models: DataFrame, base: str) -> DataFrame:
+def record_models(models: DataFrame, base: str, order: str = "put_no") -> DataFrame:
     """Put one registry record per imported model into the same table."""
-    return put_records(registry_records(models).withColumn("put_no", F.monotonically_increasing_id()), base)
+    return put_records(registry_records(models, keep=[order]), base, order=order)
 
 
 def request_report(log: DataFrame, limit: int = RATE_LIMIT, window: str = RATE_WINDOW) -> DataFrame:

@@ -63,3 +63,14 @@ def test_upsert_without_puts_keeps_the_table(spark):
     table = spark.createDataFrame([("j", "t", "x")], "job_id string, timestamp string, status string")
     none = spark.createDataFrame([], "job_id string, timestamp string, status string, put_no long")
     assert [tuple(r) for r in jobs.upsert(table, none).collect()] == [("j", "t", "x")]
+
+
+def test_jobs_and_models_share_one_table(spark, tmp_path):
+    from scribemill.plans.serving import record_jobs, record_models
+
+    base = str(tmp_path / "records")
+    first = spark.createDataFrame([("j", AT, "Failed", None, None, [("loss", 1.0)]), ("j", AT, "Completed", None, ("s3://m",), None)], DESCRIPTION)
+    record_jobs(first.coalesce(1).withColumn("put_no", F.monotonically_increasing_id()), base)
+    table = record_models(spark.createDataFrame([("m", "arn:x", AT, 0)], "model_name string, model_arn string, written_at timestamp, put_no long"), base)
+    rows = {r.job_id: (r.status, r.model_artifact, r.metrics, r.bedrock_model_arn) for r in table.collect()}
+    assert rows == {"j": ("Completed", "s3://m", {}, None), "bedrock-import-m": ("Completed", None, None, "arn:x")}

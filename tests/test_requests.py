@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scribemill.functions import answers as fa
 from scribemill.operators import answers, requests
 from scribemill.operators.anchored import last_starts, starts_from
+from scribemill.plans.serving import request_report
 
 T0 = datetime.datetime(2024, 1, 1, 10, 0, 30)
 LOG = ("request_id long, ts timestamp, user_id string, client_addr string, authorized boolean, question string, "
@@ -35,7 +36,7 @@ def test_verdicts(spark):
         rows.append((i, at(i * 60), c["user"], c["addr"], c["ok"], c["q"], c["n"], c["t"], c["e"]))
     got = requests.verdicts(spark.createDataFrame(rows, LOG)).orderBy("request_id").collect()
     assert [r.status for r in got] == [status for _, status in cases]
-    report = {r.status: (r.requests, r.client) for r in requests.outcome_report(spark.createDataFrame(got)).collect()}
+    report = {r.status: (r.requests, r.client) for r in request_report(spark.createDataFrame(rows, LOG)).collect()}
     assert report[200] == (4, "answer") and report[401] == (2, "sign_in") and report[503][1] == "warming" and report[429][1] == "error"
 
 
