@@ -178,7 +178,7 @@ def _corpus(spark, sf):
 
 @query
 def corpus_build(spark, sf):
-    numbered = corpus_plan.numbered(_corpus(spark, sf).unique)
+    numbered = corpus_plan.numbered(_corpus(spark, sf))
     return numbered.select("position", "title", "date", "source", "url", F.md5("text").alias("text_md5"))
 
 
@@ -205,8 +205,7 @@ def jsonl_ordered(spark, sf):
 @query
 def numbered_files(spark, sf):
     path = new_path(spark, "numbered")
-    unique = corpus.first_per_title(i.titled_documents(spark, sf))
-    writers.write_numbered(dense_index(unique, "seq"), path)
+    writers.write_numbered(corpus.numbered_first_per_title(i.titled_documents(spark, sf), key_bits=45), path)
     return spark.read.schema("seq long, source string, file_id string").json(path).select(F.col("seq").alias("doc_id"), "source", "file_id")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scribemill.functions.text import title_key
+from scribemill.operators.prefix import dense_index
 from scribemill.operators.skew import HOT_ROWS, spread_join
 
 _ROW_BITS = 20
@@ -51,14 +52,24 @@ def attach_text(
     return spread_join(index, texts.select(*on, "text"), on, spread_by=spread_by, hot_rows=hot_rows)
 
 
-def first_per_title(df: DataFrame, title: str = "title", seq: str = "seq") -> DataFrame:
-    """Keep the earliest row of every title key.
+def first_titles(df: DataFrame, title: str = "title", seq: str = "seq") -> DataFrame:
+    """The ``seq`` of the earliest row of every title key.
 
-    Only (key, seq) pairs are grouped, with partial minima before the shuffle;
-    the rows themselves move once, by the unique ``seq``.
+    Only (key, seq) pairs are grouped, with partial minima before the shuffle.
     """
-    first = df.groupBy(title_key(F.col(title)).alias("__key")).agg(F.min(seq).alias(seq))
-    return df.join(first.select(seq), seq, "left_semi")
+    return df.groupBy(title_key(F.col(title)).alias("__key")).agg(F.min(seq).alias(seq)).select(seq)
+
+
+def first_per_title(df: DataFrame, title: str = "title", seq: str = "seq") -> DataFrame:
+    """Keep the earliest row of every title key. The rows move once, by the unique ``seq``."""
+    return df.join(first_titles(df, title, seq), seq, "left_semi")
+
+
+def numbered_first_per_title(
+    df: DataFrame, title: str = "title", seq: str = "seq", name: str = "position", key_bits: int = SEQ_BITS
+) -> DataFrame:
+    """The same rows with their dense 0-based position, still moved only once."""
+    return df.join(dense_index(first_titles(df, title, seq), seq, name, key_bits), seq)
 
 
 def source_counts(df: DataFrame, accepted: Column, source: str = "source") -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from scribemill.functions.text import MIN_TEXT_CHARS
 from scribemill.operators.corpus import (
-    SEQ_BITS,
     attach_text,
     corpus_totals,
     first_captures,
     first_per_title,
+    numbered_first_per_title,
     order_key,
     source_counts,
     union_sources,
@@ -27,7 +27,6 @@ from scribemill.operators.extract import (
     parse_listings,
     until_first_gap,
 )
-from scribemill.operators.prefix import dense_index
 from scribemill.operators.skew import spread_join
 from scribemill.session import stage
 
@@ -90,6 +89,6 @@ def build_corpus(sources: Sequence[Source], articles: DataFrame, min_chars: int
     )
 
 
-def numbered(unique: DataFrame) -> DataFrame:
+def numbered(corpus: Corpus) -> DataFrame:
     """The unique records with their dense position, ready for numbered files."""
-    return dense_index(unique, "seq", key_bits=SEQ_BITS)
+    return numbered_first_per_title(corpus.raw)

@@ -41,12 +41,18 @@ def generate_pairs(
     parallelism: int | None = None,
     key_bits: int = SEQ_BITS,
 ) -> PairRun:
-    """Sample, clean, prompt, call, parse. ``parsed`` has position, title, status, pairs and tokens per document."""
+    """Sample, clean, prompt, call, parse. ``parsed`` has position, title, status, pairs and tokens per document.
+
+    Positions are given to the parsed rows, so the texts are not shuffled for them.
+    """
     chosen = exact_sample(docs, sample, seed, seq).withColumn("text", clean_text(F.col("text")))
-    asked = prompts(dense_index(chosen, seq, key_bits=key_bits), template)
-    answered = call_generator(asked, generate, ["position", "title"], parallelism=parallelism)
-    parsed = stage(parse_pairs(answered, ["position", "title"]), "pairs")
-    return PairRun(parsed, token_totals(parsed), token_progress(parsed, "position"))
+    answered = call_generator(prompts(chosen, template), generate, [seq, "title"], parallelism=parallelism)
+    parsed = stage(parse_pairs(answered, [seq, "title"]), "pairs")
+    return PairRun(
+        parsed=dense_index(parsed, seq, key_bits=key_bits),
+        totals=token_totals(parsed),
+        progress=token_progress(parsed, seq, key_bits=key_bits),
+    )
 
 
 def load_training_set(spark: SparkSession, path: str, glob: str | None = JSONL_GLOB) -> tuple[DataFrame, int]:

@@ -19,6 +19,8 @@ def test_first_title_wins_across_sources(spark):
             (2, "Remarks by the President!", "wh"), (3, "A Different Speech", "wh"), (4, "***", "a"), (5, "!!", "a")]
     df = spark.createDataFrame(rows, "seq long, title string, source string").repartition(5)
     once = corpus.first_per_title(df)
+    placed = corpus.numbered_first_per_title(df)
+    assert {(r.seq, r.position) for r in placed.collect()} == {(0, 0), (3, 1), (4, 2)}
     assert sorted(r.seq for r in once.collect()) == [0, 3, 4]
     assert sorted(r.seq for r in corpus.first_per_title(once).collect()) == [0, 3, 4]
 
@@ -136,7 +138,7 @@ def test_corpus_build_follows_the_stages(spark):
         Source("a", first, TableListing("https://a.example", "table.views-table tbody tr"), "div.b"),
         Source("b", second, CardListing("https://a.example", "div.views-row", "h3 a", "time"), "div.x, div.b", lambda t: title_matches(t, ["the "])),
     ], articles)
-    rows = [(r.position, r.title, r.date, r.source) for r in numbered(result.unique).orderBy("position").collect()]
+    rows = [(r.position, r.title, r.date, r.source) for r in numbered(result).orderBy("position").collect()]
     assert rows == [(0, "One", "May 1", "a"), (1, "Two", "May 2", "a"), (2, "The ONE", "June", "b"), (3, "the two", "June", "b")]
     assert {tuple(r) for r in result.counts.collect()} == {("a", 4, 0), ("b", 4, 1)}
     assert tuple(result.totals.first()) == (5, 4)
