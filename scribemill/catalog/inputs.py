@@ -127,7 +127,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     question = (
         F.when(d % 11 == 0, F.lit(" [INST] </s> [/inst]"))
         .when(d % 13 == 0, F.lit(""))
-        .when(d % 7 == 0, F.concat(F.lit("<S>[INST] "), F.substring("text", 1, 50), F.lit(" [/INST]</s>")))
+        .when(d % 7 == 0, F.concat(F.lit("<S>[INST] "), F.col("text"), F.lit(" [/INST]</s>")))
         .otherwise(F.col("text"))
     )
     return table(spark, sf_dir, "documents").select(

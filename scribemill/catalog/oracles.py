@@ -71,7 +71,7 @@ LOG = f"""log AS (
     CASE WHEN doc_id % 9 = 0 THEN '10.0.0.' || (doc_id % 5) ELSE source END AS caller,
     doc_id % 17 <> 0 AS authorized,
     CASE WHEN doc_id % 11 = 0 THEN ' [INST] </s> [/inst]' WHEN doc_id % 13 = 0 THEN ''
-      WHEN doc_id % 7 = 0 THEN '<S>[INST] ' || left(text, 50) || ' [/INST]</s>' ELSE text END AS question,
+      WHEN doc_id % 7 = 0 THEN '<S>[INST] ' || text || ' [/INST]</s>' ELSE text END AS question,
     CASE WHEN doc_id % 5 = 0 THEN 512 WHEN doc_id % 19 = 0 THEN 5000 ELSE 100 END AS max_tokens,
     CAST(CASE WHEN doc_id % 3 = 0 THEN 0.7 WHEN doc_id % 23 = 0 THEN 3.0 ELSE 1.5 END AS DOUBLE) AS temperature,
     CASE WHEN doc_id % 29 = 0 THEN 503 WHEN doc_id % 31 = 0 THEN 429 WHEN doc_id % 37 = 0 THEN 500 ELSE 200 END AS answered
@@ -221,7 +221,7 @@ asked AS (
   SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, 'Title: ' || title || chr(10) || 'Date: ' || lang || chr(10) || chr(10)
     || CASE WHEN length(t) > 6000 THEN left(t, 6000) || chr(10) || chr(10) || '[truncated]' ELSE t END
     || chr(10) || chr(10) || 'Answer with a JSON array.' || chr(10) AS prompt FROM cleaned)
-SELECT position, 0 AS pair_no, left(prompt, 30) AS instruction, '' AS input, right(prompt, 30) AS output FROM asked""",
+SELECT position, 0 AS pair_no, md5(prompt) AS instruction, '' AS input, CAST(length(prompt) AS VARCHAR) AS output FROM asked""",
     "stored_responses": f"""
 WITH {PARSED} SELECT conv_id * 1024 + turn AS doc_id, status, CAST(has_pair AS INTEGER) AS n_pairs
 FROM parsed WHERE status <> 'service_error'""",

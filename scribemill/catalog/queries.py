@@ -269,13 +269,14 @@ def token_progress(spark, sf):
     return pairs.token_progress(usage, "doc_id")
 
 
-def echo_generator(prompts):
-    """Stand-in for the generation service: one pair made of the prompt's first and last characters."""
+def digest_generator(prompts):
+    """Stand-in for the generation service: one pair made of the whole prompt's digest and length."""
+    import hashlib
     import json
 
     return [
         {
-            "response": json.dumps([{"instruction": p[:30], "output": p[-30:]}]),
+            "response": json.dumps([{"instruction": hashlib.md5(p.encode()).hexdigest(), "output": str(len(p))}]),
             "input_tokens": len(p),
             "output_tokens": 60,
         }
@@ -286,7 +287,7 @@ def echo_generator(prompts):
 @query
 def generated_pairs(spark, sf):
     run = training.generate_pairs(
-        i.titled_documents(spark, sf).withColumn("date", F.col("lang")), echo_generator, TEMPLATE, parallelism=8
+        i.titled_documents(spark, sf).withColumn("date", F.col("lang")), digest_generator, TEMPLATE, parallelism=8
     )
     return pairs.pair_rows(run.parsed, ["position"])
 

@@ -43,8 +43,8 @@ class Node:
         self.parent = parent
         self.children: list[Node | str] = []
 
-    def descendants(self) -> Iterator[Node | str]:
-        """Elements and text below this node in document order."""
+    def descendants(self, hidden: bool = False) -> Iterator[Node | str]:
+        """Elements and text below this node in document order; ``hidden`` looks into unseen elements too."""
         stack = [iter(self.children)]
         while stack:
             child = next(stack[-1], None)
@@ -52,7 +52,7 @@ class Node:
                 stack.pop()
                 continue
             yield child
-            if isinstance(child, Node) and child.tag not in _HIDDEN:
+            if isinstance(child, Node) and (hidden or child.tag not in _HIDDEN):
                 stack.append(iter(child.children))
 
     def select(self, selector: str) -> Iterator[Node]:
@@ -61,7 +61,7 @@ class Node:
         A part is a chain of ``tag``, ``.class`` or ``tag.class`` steps separated by spaces.
         """
         chains = [[_step(s) for s in part.split()] for part in selector.split(",")]
-        for node in self.descendants():
+        for node in self.descendants(hidden=True):
             if isinstance(node, Node) and any(_chain_matches(node, chain) for chain in chains):
                 yield node
 
@@ -70,6 +70,11 @@ class Node:
 
     def text(self, separator: str = "") -> str:
         """Stripped, non-empty text pieces joined by ``separator``."""
+        above: Node | None = self
+        while above is not None:
+            if above.tag in _HIDDEN:
+                return ""
+            above = above.parent
         pieces = (piece.strip() for piece in self.descendants() if isinstance(piece, str))
         return separator.join(piece for piece in pieces if piece)
 
@@ -112,6 +117,8 @@ class _Builder(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.open = self.open.parent
 
     def handle_endtag(self, tag: str) -> None:
         self.in_text = False

@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     where driver and executors are one machine, may fall back to a folder made here.
     """
     context = spark.sparkContext
-    folder = context.getConf().get(CHECKPOINT_KEY) or context.getCheckpointDir()
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")

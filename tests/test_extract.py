@@ -89,4 +89,6 @@ def test_tree_survives_broken_markup():
     assert tree.text("|") == "a|b|c|d|e"
     assert tree.first("div.k").text("|") == "b|c"
     assert parse("<table><tr><td>x</div>y</table>z").first("td").text("|") == "x|y"
+    assert parse("<div class='k'/>x<br/>y").first("div.k").text() == "" and parse("<p/>x").text() == "x"
+    assert parse("<template><p class='k'>x</p></template>").first("p.k").text() == ""
     assert parse("").text() == "" and parse("a < b & c").text() == "a < b & c"

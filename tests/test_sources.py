@@ -135,3 +135,12 @@ def test_pages_keep_failed_captures(spark, tmp_path):
 def test_staging_uses_the_folder_the_session_names(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert shared_dir(spark) == named and new_path(spark, "x").startswith(named)
+
+
+def test_worker_functions_travel_with_the_job():
+    import scribemill  # noqa: F401
+    from pyspark import cloudpickle
+
+    from scribemill.operators.markup import parse
+
+    assert b"_Builder" in cloudpickle.dumps(parse)  # by value, not as a module path
