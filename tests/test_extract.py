@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from scribemill.operators import extract
 from scribemill.operators.markup import parse
