@@ -12,15 +12,22 @@ HOT_ROWS = 1_000_000
 SALTS = 64
 
 
-def small_enough(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate of ``df`` is within the broadcast limit of the session.
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate. For a staged table it is the file size.
 
-    For a staged table the estimate is its file size. Filters and aggregates
-    are estimated no smaller than the files below them allow.
+    Filters and aggregates are estimated no smaller than the files below them
+    allow, joins as the product of their sides.
     """
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    return df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def small_enough(df: DataFrame) -> bool:
+    """Whether ``df`` is within the broadcast limit of the session."""
+    return estimated_bytes(df) <= broadcast_limit(df)
 
 
 def spread_join(
@@ -34,15 +41,18 @@ def spread_join(
 ) -> DataFrame:
     """Join ``left`` with ``right``, which has one row per key, keeping hot keys off one task.
 
-    A ``right`` within the broadcast limit is broadcast and ``left`` stays where it is.
-    Otherwise keys with more than ``hot_rows`` left rows get a salt on the left
+    A side within the broadcast limit is broadcast (the left one only in an
+    inner join) and the other stays where it is. Otherwise keys with more than ``hot_rows`` left rows get a salt on the left
     and one copy per salt on the right; all other keys are joined as they are.
     There are fewer than ``rows / hot_rows`` hot keys, so their list is small:
     a million keys at a trillion rows. ``spread_by`` is a column of ``left`` that tells
     rows of one key apart.
     """
     on = list(on)
-    if small_enough(right):
+    limit, right_bytes = broadcast_limit(left), estimated_bytes(right)
+    if how == "inner" and estimated_bytes(left) <= min(limit, right_bytes):
+        return F.broadcast(left).join(right, on)
+    if right_bytes <= limit:
         return left.join(F.broadcast(right), on, how)
     hot = (
         left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))

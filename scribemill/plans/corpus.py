@@ -77,8 +77,9 @@ def build_corpus(sources: Sequence[Source], articles: DataFrame, min_chars: int
         "index",
     )
     kept = index.where("accepted").drop("accepted")
-    # Addresses are resolved to page ids first, so each text moves only once.
-    located = spread_join(kept, first_captures(articles), ["url"], spread_by="seq")
+    # Addresses are resolved to page ids first, so each text moves at most once:
+    # not at all when the staged index is small enough to broadcast.
+    located = stage(spread_join(kept, first_captures(articles), ["url"], spread_by="seq"), "located")
     texts = body_texts(articles, {s.name: s.body for s, _ in found}, min_chars=min_chars)
     raw = stage(attach_text(located, texts, ["source", "page_id"]).select("seq", *RECORD), "raw-records")
     return Corpus(

@@ -108,6 +108,18 @@ def test_only_small_tables_are_broadcast(spark, tmp_path):
     assert not small_enough(large.where("r < 0.1").groupBy("id").count())
 
 
+def test_the_smaller_side_is_broadcast(spark, tmp_path):
+    spark.range(1000).select((F.col("id") % 10).alias("k"), "id").write.parquet(str(tmp_path / "left"))
+    spark.range(2_000_000).select(F.col("id").alias("k"), F.rand(1).alias("v")).write.parquet(str(tmp_path / "right"))
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in ("left", "right"))
+    joined = spread_join(left, right, ["k"], spread_by="id")
+    assert joined.count() == 1000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" in plan and "SortMergeJoin" not in plan
+    outer = spread_join(left, right, ["k"], "left", spread_by="id")
+    assert outer.count() == 1000 and "SortMergeJoin" in outer._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lookup_keeps_duplicates_and_loses_missing_pages(spark):
     index = spark.createDataFrame([(0, "u1"), (1, "u1"), (2, "u2"), (3, "u9")], "seq long, url string")
     texts = spark.createDataFrame([("u1", "one"), ("u2", "two")], "url string, text string")
