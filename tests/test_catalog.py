@@ -5,11 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
+from scribemill.catalog.oracles import ORACLES
+from scribemill.catalog.queries import QUERIES
 from tests.compare import compare, connect
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
@@ -24,6 +23,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
