@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribemill.llm import common
 from scribemill.llm.oracles import ORACLES
+from scribemill.llm.bpe_automaton import encode_documents
+from scribemill.llm.mixing import mix_sources
 from scribemill.llm.quality import quality_rules
+from scribemill.llm.sharding import shard_by_bytes
+from scribemill.llm.token_counts import count_tokens
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -36,3 +41,35 @@ def op1_quality_rules(spark, sf):
         "base_failed",
         "kept",
     )
+
+
+@query
+def op2_histogram_shards(spark, sf):
+    docs = common.documents(spark, sf).select("doc_id", "text")
+    return shard_by_bytes(docs).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op4_mixed_sources(spark, sf):
+    docs = common.documents(spark, sf).select("doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+@query
+def op3_bpe_automaton(spark, sf):
+    docs = common.documents(spark, sf).select("doc_id", "text")
+    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_token_counts(spark, sf):
+    docs = common.documents(spark, sf).select("doc_id", "text")
+    return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))

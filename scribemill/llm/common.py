@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,3 +33,11 @@ def fresh(prefix: str) -> str:
 def file_partitions(spark) -> int:
     """Tasks for work on rows that were gathered from a scan: the session's shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of driver-side rows, few by construction, as one JSON literal."""
+    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    element = ",".join(f"{n}:{c.strip().split(' ', 1)[1]}" for n, c in zip(names, schema.split(", ")))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{element}>>")))

@@ -44,3 +44,35 @@ SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_R
     AND lost_chars * 100 <= word_chars * {quality.MAX_LOST_PERCENT} AS kept
 FROM q
 """
+
+# Targets by closed form over sources in ascending order of size per weight, see mixing.source_targets.
+ORACLES["op4_mixed_sources"] = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> ''))::BIGINT AS size,
+    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS symbols
+  FROM documents
+), keyed AS (
+  SELECT *, -ln((('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE)
+      / (1.0::DOUBLE - 0.5::DOUBLE * least(1.0::DOUBLE, symbols::DOUBLE / greatest(size, 1)::DOUBLE)) AS key
+  FROM d
+), sources AS (
+  SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w
+  FROM (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source)
+), rooms AS (
+  SELECT *, sum(s) OVER () AS total, row_number() OVER (ORDER BY s / w, source NULLS LAST) AS o FROM sources
+), flagged AS (
+  SELECT *, 3 * s * sum(w) OVER (ORDER BY o DESC) < (total - coalesce(sum(3 * s) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS capped
+  FROM rooms
+), targets AS (
+  SELECT source, s, CASE WHEN capped THEN (3 * s)::DOUBLE
+      ELSE ((total - coalesce(sum(CASE WHEN capped THEN 3 * s END) OVER (), 0)) * w)::DOUBLE / (sum(CASE WHEN NOT capped THEN w END) OVER ())::DOUBLE END AS target
+  FROM flagged
+), placed AS (
+  SELECT k.doc_id, k.source, k.size, t.s AS source_size, t.target, CASE WHEN t.s > 0 THEN floor(t.target / t.s)::BIGINT ELSE 0 END AS epochs,
+    coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, source, size, source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken
+FROM (SELECT *, CASE WHEN size > 0 THEN epochs + ((target - (epochs * source_size)::DOUBLE - before::DOUBLE) * 2 >= size AND epochs < 3)::BIGINT ELSE 0 END AS copies
+      FROM placed)
+"""
