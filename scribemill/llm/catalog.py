@@ -12,6 +12,7 @@ from scribemill.llm import common
 from scribemill.llm.oracles import ORACLES
 from scribemill.llm.bpe_automaton import encode_documents
 from scribemill.llm.mixing import mix_sources
+from scribemill.llm.neardup import near_duplicates
 from scribemill.llm.quality import quality_rules
 from scribemill.llm.sharding import shard_by_bytes
 from scribemill.llm.token_counts import count_tokens
@@ -73,3 +74,8 @@ def op3_bpe_automaton(spark, sf):
 def op10_token_counts(spark, sf):
     docs = common.documents(spark, sf).select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op5_tensored_minhash(spark, sf):
+    return near_duplicates(common.documents(spark, sf).select("doc_id", "text"))
