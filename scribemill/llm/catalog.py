@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scribemill.llm import common
 from scribemill.llm.oracles import ORACLES
 from scribemill.llm.bpe_automaton import encode_documents
+from scribemill.llm.fingerprints import fingerprints
 from scribemill.llm.mixing import mix_sources
 from scribemill.llm.neardup import near_duplicates
 from scribemill.llm.quality import quality_rules
@@ -79,3 +80,8 @@ def op10_token_counts(spark, sf):
 @query
 def op5_tensored_minhash(spark, sf):
     return near_duplicates(common.documents(spark, sf).select("doc_id", "text"))
+
+
+@query
+def op7_imatch_fingerprints(spark, sf):
+    return fingerprints(common.documents(spark, sf).select("doc_id", "text"))
