@@ -36,7 +36,7 @@ from scribemill.session import stage
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 # Rows of one bucket of keys, on average, in the largest source.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 SYMBOLS = "[#*$%&|<>]"
 
 
