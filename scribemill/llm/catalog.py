@@ -15,6 +15,7 @@ from scribemill.llm.fingerprints import fingerprints
 from scribemill.llm.mixing import mix_sources
 from scribemill.llm.neardup import near_duplicates
 from scribemill.llm.quality import quality_rules
+from scribemill.llm.secrets import scan_secrets
 from scribemill.llm.sharding import shard_by_bytes
 from scribemill.llm.token_counts import count_tokens
 
@@ -85,3 +86,17 @@ def op5_tensored_minhash(spark, sf):
 @query
 def op7_imatch_fingerprints(spark, sf):
     return fingerprints(common.documents(spark, sf).select("doc_id", "text"))
+
+
+@query
+def op9_secret_forest(spark, sf):
+    docs = common.documents(spark, sf).select("doc_id", "text", "source")
+    found = scan_secrets(docs).withColumnRenamed("doc_id", "id")
+    joined = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return joined.select(
+        "doc_id",
+        F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"),
+        F.coalesce("n_secrets", F.lit(0)).cast("long").alias("n_secrets"),
+        "max_score",
+        F.when(F.col("n_secrets") > 0, F.sha2(F.array_join("secrets", "\n"), 256)).alias("secrets_sha256"),
+    )
