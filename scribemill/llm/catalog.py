@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from scribemill.llm import common
 from scribemill.llm.oracles import ORACLES
 from scribemill.llm.bpe_automaton import encode_documents
+from scribemill.llm.chat import format_chats
 from scribemill.llm.fingerprints import fingerprints
+from scribemill.llm.licenses import scan_licenses
 from scribemill.llm.mixing import mix_sources
 from scribemill.llm.neardup import near_duplicates
 from scribemill.llm.quality import quality_rules
@@ -100,3 +102,13 @@ def op9_secret_forest(spark, sf):
         "max_score",
         F.when(F.col("n_secrets") > 0, F.sha2(F.array_join("secrets", "\n"), 256)).alias("secrets_sha256"),
     )
+
+
+@query
+def op6_chat_snapshots(spark, sf):
+    return format_chats(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+@query
+def op8_license_digests(spark, sf):
+    return scan_licenses(common.documents(spark, sf).select("doc_id", "text"))

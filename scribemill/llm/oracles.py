@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scribemill.llm import quality
+from scribemill.llm import chat, licenses, quality
 
 ORACLES: dict[str, str] = {}
 
@@ -76,3 +76,44 @@ SELECT doc_id, source, size, source_size, target, copies::BIGINT AS copies, (cop
 FROM (SELECT *, CASE WHEN size > 0 THEN epochs + ((target - (epochs * source_size)::DOUBLE - before::DOUBLE) * 2 >= size AND epochs < 3)::BIGINT ELSE 0 END AS copies
       FROM placed)
 """
+
+ORACLES["op6_chat_snapshots"] = rf"""
+WITH t AS (
+  SELECT conv_id AS id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+), p AS (
+  SELECT *, count(*) OVER (PARTITION BY id) AS n_turns,
+    md5(string_agg(coalesce('+' || role, '-') || chr(31) || coalesce('+' || text, '-'), chr(30)) OVER (PARTITION BY id ORDER BY pos)) AS prefix
+  FROM t
+), whole AS (
+  SELECT min(id) AS id, n_turns, prefix FROM p WHERE pos = n_turns GROUP BY n_turns, prefix
+), kept AS (
+  SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos = w.n_turns AND p.prefix = w.prefix AND p.n_turns > w.n_turns)
+)
+SELECT k.id AS conv_id, k.n_turns, (p.pos - 1) // {chat.PART_TURNS} AS part,
+  string_agg('{chat.OPEN}' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY p.pos) AS rendered
+FROM kept k JOIN p USING (id) GROUP BY ALL
+"""
+
+
+def _canonical(text: str) -> str:
+    form = f"regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT_LINE}', ' ', 'g')"
+    for found, written in licenses.SPELLINGS:
+        form = f"replace({form}, '{found}', '{written}')"
+    return f"trim(regexp_replace({form}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.KNOWN)
+
+ORACLES["op8_license_digests"] = rf"""
+WITH known AS (
+  SELECT sha256({_canonical("t")}) AS digest, min(n) AS license FROM (VALUES {_KNOWN}) v(n, t) WHERE {_canonical("t")} <> '' GROUP BY 1
+), lines AS (
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) JOIN known ON sha256({_canonical("line")}) = digest
+  WHERE trim(line) <> '' GROUP BY doc_id
+)
+SELECT d.doc_id, d.digest, license, coalesce(line_licenses, '') AS line_licenses, coalesce(n, 0)::BIGINT AS n_license_lines
+FROM (SELECT doc_id, sha256({_canonical("text")}) AS digest FROM documents) d
+LEFT JOIN known USING (digest) LEFT JOIN lines ON d.doc_id IS NOT DISTINCT FROM lines.doc_id
+"""
