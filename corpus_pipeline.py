@@ -1,19 +1,97 @@
-"""Document pipeline built from the operators of ``scribemill.llm``."""
+"""Document pipeline: quality rules, near-duplicates, secrets, mixing and encoding.
+
+Every stage takes documents and returns documents, the last one the encodings.
+``run`` writes each stage's result as Parquet into the shared folder and reads it
+back for the next one, so a lost executor costs part of one stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scribemill.llm.common import documents
+from scribemill.llm.bpe_automaton import encode_documents
+from scribemill.llm.common import documents, fresh
+from scribemill.llm.mixing import mix_sources
+from scribemill.llm.neardup import near_duplicates
 from scribemill.llm.quality import quality_rules
+from scribemill.llm.secrets import redact_documents
 from scribemill.session import stage
 
+# Ids, or ids with a number, are broadcast up to this many rows and joined by a shuffle beyond.
+BROADCAST_ROWS = 2_000_000
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _with_text(docs: DataFrame, text: str) -> list:
+    """The columns of the documents with the text of another column and its length."""
+    own = {"text": F.col(text)}
+    if "n_chars" in docs.columns:
+        changed = ~F.col(text).eqNullSafe(F.col("text"))
+        own["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return [own.get(c, F.col(c)).alias(c) for c in docs.columns]
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Rejected documents go; lines that break a rule are cut from the others."""
+    prefix, verdict, clean = fresh("quality"), fresh("verdict"), fresh("clean")
+    judged = quality_rules(docs, prefix=prefix)
+    # The verdict goes through a generator, which keeps the optimiser from copying its expressions into the filter.
+    held = judged.select(
+        *docs.columns, F.explode(F.array(F.struct(F.col(f"{prefix}kept").alias("kept"), F.col(f"{prefix}clean_text").alias("text")))).alias(verdict)
+    )
+    kept = held.where(f"{verdict}.kept").select(*docs.columns, F.col(f"{verdict}.text").alias(clean))
+    return kept.select(*_with_text(docs, clean))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id. Documents without an id all stay."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    gone = stage(found.where("not kept").select("doc_id").distinct(), "gone")
+    left = docs.join(_small(gone), "doc_id", "left_anti")
+    repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(_small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(_small(repeated), "doc_id", "left_anti").unionByName(once)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; every document stays."""
+    before = fresh("before")
+    masked = redact_documents(docs.withColumn(before, F.col("text")))
+    text = fresh("text")
+    return masked.withColumnsRenamed({"text": text, before: "text"}).select(*_with_text(docs, text))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it. Rows of equal id, source and size are all taken as often as the most taken one."""
+    taken = mix_sources(docs.select("doc_id", "text", "source")).where("copies > 0")
+    key = ["doc_id", "source"]
+    names = {c: fresh(c) for c in [*key, "copies"]}
+    copies = stage(taken.groupBy(*key).agg(F.max("copies").alias("copies")).withColumnsRenamed(names), "copies")
+    same = [docs[c].eqNullSafe(F.col(names[c])) for c in key]
+    repeats = F.explode(F.sequence(F.lit(1), F.col(names["copies"]).cast("int")))
+    return docs.join(_small(copies), same).select(*docs.columns, repeats.alias(fresh("copy"))).select(*docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Counts and digests of the token ids and of the decoded texts."""
+    return encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("secret_scans", secret_stage),
+    ("mixing_sources", mixing_stage),
+    ("bpe_encoding", encoding_stage),
+]
+# Near-duplicate search by minhashes and a trained forest have no SQL form.
 ORACLE_SQL = None
 
 
