@@ -52,16 +52,22 @@ class TokenAutomaton:
         # Per state: the state it is a copy of and the arc it lost; its number is the gadget's.
         self.copied, self.lost = [0], [-1]
         self.arcs: dict[int, bool] = {}
+        # A merge whose parts can never meet makes a token that no text reaches.
+        dead: set[int] = set()
         for u, v in vocabulary.merges:
-            self._add_gadget(ids[u], ids[v], ids[u + v])
-        self.arcs.clear()
+            left, right, made = ids[u], ids[v], ids[u + v]
+            if left in dead or right in dead or not self.arc(self.after[left], right):
+                dead.add(made)
+            else:
+                self._add_gadget(left, right, made)
+        live = {t: i for t, i in ids.items() if i not in dead}
         self.labels = {i: t for t, i in ids.items()} | {i: t for t, i in vocabulary.special.items()}
         # Every string that begins a token: the token it is inside a word and at a word's end, -1 for none.
         self.table: dict[str, tuple[int, int]] = {}
-        for token in ids:
+        for token in live:
             body = token.removesuffix(self.word_end) if self.word_end else token
             for n in range(1, len(body) + 1):
-                self.table.setdefault(body[:n], (ids.get(body[:n], -1), ids.get(body[:n] + self.word_end, -1)))
+                self.table.setdefault(body[:n], (live.get(body[:n], -1), live.get(body[:n] + self.word_end, -1)))
 
     def _add_gadget(self, u: int, v: int, w: int) -> None:
         number = len(self.copied)

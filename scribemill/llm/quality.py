@@ -204,23 +204,28 @@ def quality_rules(
     )
     f = F.col(flags)
     df = df.withColumn(bad, F.filter(F.col(lines), lambda x: line_fails(x, f["symbols"] > 0, f["shouts"], f["menus"], f["furniture"])))
-    n_words, word_chars = F.size(w).cast("long"), F.length(F.array_join(F.col(w), "")).cast("long")
-    lost = F.when(F.size(bad) == 0, F.lit(0).cast("long")).otherwise(chars(F.col(bad)))
-    failed = (n_words < min_words) | (F.col(repeat) * 100 > n_words * max_repeated_percent)
-    clean = F.when(F.col(text).isNull(), F.lit(None).cast("string")).when(F.size(bad) == 0, F.col(text)).otherwise(
-        F.array_join(F.filter(F.split(F.col(body), "\n"), lambda x: ~F.array_contains(F.col(bad), x)), "\n")
+    # The counts go through a generator: the optimiser does not copy what they are made of into a filter on the verdict.
+    counts = F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(F.col(w), "")).cast("long").alias("word_chars"),
+        f["symbols"].alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(F.col(lines)))).cast("long").alias("n_dup_lines"),
+        F.col(repeat).alias("n_repeat_words"),
+        F.col(bad).alias("bad"),
     )
-    new = {
-        "n_words": n_words,
-        "word_chars": word_chars,
-        "n_symbols": f["symbols"],
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(F.col(lines)))).cast("long"),
-        "n_repeat_words": F.col(repeat),
-        "n_lines_removed": F.size(bad).cast("long"),
+    df = df.select(*docs.columns, F.explode(F.array(counts)).alias(w))
+    m = F.col(w)
+    lost = F.when(F.size(m["bad"]) == 0, F.lit(0).cast("long")).otherwise(chars(m["bad"]))
+    failed = (m["n_words"] < min_words) | (m["n_repeat_words"] * 100 > m["n_words"] * max_repeated_percent)
+    clean = F.when(F.col(text).isNull() | (F.size(m["bad"]) == 0), F.col(text)).otherwise(
+        F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(m["bad"], x)), "\n")
+    )
+    new = {name: m[name] for name in NEW_COLUMNS[:5]} | {
+        "n_lines_removed": F.size(m["bad"]).cast("long"),
         "lost_chars": lost,
         "clean_text": clean,
         "base_failed": failed,
-        "kept": ~failed & (lost * 100 <= word_chars * max_lost_percent),
+        "kept": ~failed & (lost * 100 <= m["word_chars"] * max_lost_percent),
     }
     return df.select(*kept_columns, *[c.alias(prefix + name) for name, c in new.items()])
 
