@@ -38,14 +38,9 @@ def _with_text(docs: DataFrame, text: str) -> list:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines that break a rule are cut from the others."""
-    prefix, verdict, clean = fresh("quality"), fresh("verdict"), fresh("clean")
-    judged = quality_rules(docs, prefix=prefix)
-    # The verdict goes through a generator, which keeps the optimiser from copying its expressions into the filter.
-    held = judged.select(
-        *docs.columns, F.explode(F.array(F.struct(F.col(f"{prefix}kept").alias("kept"), F.col(f"{prefix}clean_text").alias("text")))).alias(verdict)
-    )
-    kept = held.where(f"{verdict}.kept").select(*docs.columns, F.col(f"{verdict}.text").alias(clean))
-    return kept.select(*_with_text(docs, clean))
+    prefix = fresh("quality")
+    kept = quality_rules(docs, prefix=prefix).where(f"{prefix}kept")
+    return kept.select(*_with_text(docs, f"{prefix}clean_text"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
