@@ -223,8 +223,14 @@ asked AS (
     || chr(10) || chr(10) || 'Answer with a JSON array.' || chr(10) AS prompt FROM cleaned)
 SELECT position, 0 AS pair_no, md5(prompt) AS instruction, '' AS input, CAST(length(prompt) AS VARCHAR) AS output FROM asked""",
     "stored_responses": f"""
-WITH {PARSED} SELECT conv_id * 1024 + turn AS doc_id, status, CAST(has_pair AS INTEGER) AS n_pairs
-FROM parsed WHERE status <> 'service_error'""",
+WITH {PARSED} SELECT conv_id * 4294967296 + turn AS doc_id, status, CAST(has_pair AS INTEGER) AS n_pairs
+FROM parsed""",
+    "training_set": f"""
+WITH {PARSED} SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS position, '<s>[INST] ' || instruction || ' [/INST] ' || output || '</s>' AS text
+FROM parsed WHERE has_pair""",
+    "sampled_files": """
+SELECT s_suppkey, s_name FROM supplier
+ORDER BY md5('42:' || CASE WHEN s_suppkey < 100000 THEN lpad(CAST(s_suppkey AS VARCHAR), 5, '0') ELSE CAST(s_suppkey AS VARCHAR) END || '.jsonl') LIMIT 40""",
     "chat_text": f"""
 WITH {EXCHANGES} SELECT conv_id, turn, '<s>[INST] ' || instruction || ' [/INST] ' || output || '</s>' AS text FROM exchanges""",
     "packed_slices": f"WITH {TOKENS} SELECT block, doc_id, lo, hi FROM slices",

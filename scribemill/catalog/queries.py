@@ -88,7 +88,7 @@ def exact_sample(spark, sf):
 @query
 def exact_sample_by_bound(spark, sf):
     docs = i.table(spark, sf, "documents")
-    return corpus.exact_sample(docs, SAMPLE, 7, "doc_id", top_n=0).select("doc_id", "lang")
+    return corpus.exact_sample(docs, SAMPLE, 7, "doc_id").select("doc_id", "lang")
 
 
 @query
@@ -209,10 +209,33 @@ def numbered_files(spark, sf):
     return spark.read.schema("seq long, source string, file_id string").json(path).select(F.col("seq").alias("doc_id"), "source", "file_id")
 
 
+def _turn_key():
+    """One long per turn of a conversation."""
+    return F.shiftleft(F.col("conv_id"), 32) + F.col("turn")
+
+
+@query
+def training_set(spark, sf):
+    path = new_path(spark, "pairs")
+    parsed = _parsed(spark, sf).withColumn("seq", _turn_key())
+    writers.write_numbered(writers.numbered_pairs(dense_index(parsed, "seq")), path, per_bucket=16)
+    return training.ordered_training_set(spark, path)
+
+
+@query
+def sampled_files(spark, sf):
+    path = new_path(spark, "folder")
+    suppliers = i.table(spark, sf, "supplier")
+    columns = ["s_suppkey", "s_name"]
+    lines = suppliers.select(F.col("s_suppkey").alias("position"), writers.record_lines(columns).alias("content"))
+    writers.put_files(lines, path)
+    return readers.read_sampled_files(spark, path, "s_suppkey long, s_name string", 40)
+
+
 @query
 def pair_files(spark, sf):
     path = new_path(spark, "pairs")
-    parsed = _parsed(spark, sf).withColumn("seq", F.col("conv_id") * 1024 + F.col("turn"))
+    parsed = _parsed(spark, sf).withColumn("seq", _turn_key())
     writers.write_numbered(writers.numbered_pairs(dense_index(parsed, "seq")), path)
     read = spark.read.schema(f"{readers.PAIR_SCHEMA}, pair_no int, file_id string").json(path)
     return read.select("file_id", "pair_no", "instruction", "input", "output")
@@ -294,8 +317,8 @@ def generated_pairs(spark, sf):
 
 @query
 def stored_responses(spark, sf):
-    stored = i.responses(spark, sf).where(F.col("response").isNotNull()).withColumn("doc_id", F.col("conv_id") * 1024 + F.col("turn"))
-    docs = i.exchanges(spark, sf).select((F.col("conv_id") * 1024 + F.col("turn")).alias("doc_id"))
+    stored = i.responses(spark, sf).where(F.col("response").isNotNull()).withColumn("doc_id", _turn_key())
+    docs = i.exchanges(spark, sf).select(_turn_key().alias("doc_id"))
     parsed = pairs.parse_pairs(pairs.stored_responses(docs, stored), ["doc_id"])
     return parsed.select("doc_id", "status", F.size("pairs").alias("n_pairs"))
 

@@ -116,13 +116,20 @@ def chat_text(instruction: Column, output: Column) -> Column:
 
 
 def py_float_text(c: Column) -> Column:
-    """A double as Python prints it: positional from 1e-4 up to 1e16, else ``1e-05`` style."""
-    java = c.cast("string")  # one digit before the point when it has an exponent
-    part = lambda g: F.regexp_extract(java, r"^-?(\d)\.(\d+)E(-?\d+)$", g)
-    sign = F.when(java.startswith("-"), "-").otherwise("")
-    exp = part(3).try_cast("int")
-    fraction = F.regexp_replace(part(2), "^0$", "")
-    digits = F.concat(part(1), fraction)
+    """A double as Python prints it: the fewest digits that read back as the same number.
+
+    Positional from 1e-4 up to 1e16, else in the ``1e-05`` style.
+    """
+    def shortest(digits: range) -> Column:
+        forms = [F.format_string(f"%.{n}e", c) for n in digits]
+        return F.coalesce(*[F.when(form.cast("double") == c, form) for form in forms], forms[-1])
+
+    # Any number of up to 15 digits is printed with these; numbers near zero have fewer digits to begin with.
+    text = F.when(F.abs(c) < 2.3e-308, shortest(range(17))).otherwise(shortest(range(14, 17)))
+    part = lambda g: F.regexp_extract(text, r"^(-?)(\d)\.?(\d*?)0*e([+-]\d+)$", g)
+    sign, lead, exp = part(1), part(2), part(4).try_cast("int")
+    fraction = part(3)
+    digits = F.concat(lead, fraction)
     padded = F.rpad(digits, 33, "0")
     tail = F.regexp_replace(padded.substr(exp + 2, F.lit(33)), "(?<=.)0+$", "")
     power = F.concat(
@@ -130,13 +137,13 @@ def py_float_text(c: Column) -> Column:
         F.when(F.abs(exp) < 10, "0").otherwise(""),
         F.abs(exp).cast("string"),
     )
-    mantissa = F.concat(part(1), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+    mantissa = F.concat(lead, F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
     return (
         F.when(F.isnan(c), "nan")
         .when(c == float("inf"), "inf")
         .when(c == float("-inf"), "-inf")
-        .when(~java.contains("E"), java)
-        .when(exp == -4, F.concat(sign, F.lit("0.000"), digits))
-        .when((exp >= 7) & (exp < 16), F.concat(sign, padded.substr(F.lit(1), exp + 1), F.lit("."), tail))
+        .when(c == 0.0, F.when(c.cast("string").startswith("-"), "-0.0").otherwise("0.0"))
+        .when((exp >= -4) & (exp < 0), F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits))
+        .when((exp >= 0) & (exp < 16), F.concat(sign, padded.substr(F.lit(1), exp + 1), F.lit("."), tail))
         .otherwise(F.concat(sign, mantissa, F.lit("e"), power))
     )

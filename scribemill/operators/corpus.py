@@ -87,22 +87,17 @@ def corpus_totals(df: DataFrame, title: str = "title") -> DataFrame:
     )
 
 
-# Up to this size a sample is one top-n over all tasks; larger ones are cut by a hash bound.
-TOP_N_SAMPLE = 10_000
-
-
-def exact_sample(df: DataFrame, n: int, seed: int, key: str, top_n: int = TOP_N_SAMPLE) -> DataFrame:
+def exact_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """Exactly ``n`` rows without replacement; all rows when ``n <= 0`` or ``n`` exceeds the table.
 
     Rows are ranked by a hash of seed and the unique ``key``, so the same seed
-    picks the same rows on any cluster.
+    picks the same rows on any cluster. A null key, or a key that stands twice
+    where the sample ends, fails the job.
     """
     if n <= 0:
         return df
-    ranked = df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    if n <= top_n:
-        return ranked.orderBy("__h", key).limit(n).drop("__h")
-    return _below_rank(ranked, n, key).drop("__h")
+    known = F.coalesce(F.col(key).cast("string"), F.raise_error(F.lit(f"sample key {key} is null")).cast("string"))
+    return _below_rank(df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), known))), n, key).drop("__h")
 
 
 def _below_rank(ranked: DataFrame, n: int, key: str) -> DataFrame:
@@ -129,12 +124,16 @@ def _below_rank(ranked: DataFrame, n: int, key: str) -> DataFrame:
         bound = found.agg(F.max(F.struct("p", (F.col("need") - F.col("before")).alias("need"))).alias("b")).select("b").scalar()
         low, need = bound["p"], bound["need"]
     prefix = F.substring("__h", 1, 8)
-    edge = keys.where(prefix == low).withColumn(
-        "__r", F.row_number().over(Window.partitionBy(prefix).orderBy("__h", key))
+    edge = keys.where(prefix == low).withColumns(
+        {
+            "__r": F.row_number().over(Window.partitionBy(prefix).orderBy("__h", key)),
+            "__c": F.count(F.lit(1)).over(Window.partitionBy("__h", key)),
+        }
     )
-    last = edge.where(F.col("__r") <= need).agg(F.max(F.struct("__h", key)).alias("b")).select("b").scalar()
+    last = edge.where(F.col("__r") <= need).agg(F.max(F.struct("__h", key, "__c")).alias("b")).select("b").scalar()
+    unique = F.when(last["__c"] > 1, F.raise_error(F.lit(f"sample key {key} is not unique")).cast("boolean")).otherwise(F.lit(True))
     # There is no bound when the table has fewer than n rows.
-    return ranked.where(last.isNull() | (F.struct("__h", key) <= last))
+    return ranked.where(last.isNull() | (unique & (F.struct("__h", key) <= F.struct(last["__h"], last[key]))))
 
 
 TITLE_REPORT_CHARS = 60

@@ -85,40 +85,42 @@ def until_first_gap(
     has_items: Column | None = None,
     source: str = "source",
     page_no: str = "page_no",
-    first_page: int = 0,
+    first_page: int | None = None,
 ) -> DataFrame:
     """Keep the pages of each source before its first failed, empty or missing page.
 
     The crawl stops there, so later pages do not count even if they have rows.
+    ``first_page`` is the smallest number in the table unless it is given.
     A page is good when ``has_items`` holds, by default when ``items`` is not empty.
     ``pages`` is read twice; stage it first if it is costly.
     """
     good = F.coalesce(F.size("items") > 0 if has_items is None else has_items, F.lit(False))
     numbered = pages.select(source, F.col(page_no).cast("long").alias("__page"), good.alias("__good"))
+    first = F.lit(first_page).cast("long") if first_page is not None else numbered.agg(F.min("__page").alias("m")).select("m").scalar()
     # Every good page proposes its successor as the stop, every source its first
     # page; the smallest proposal that is not itself a good page is the stop.
     marks = F.explode(
         F.array(
             F.struct(F.col("__page").alias("page"), F.col("__good").alias("good"), F.lit(False).alias("stop")),
             F.struct(
-                F.when(F.col("__good"), F.col("__page") + 1).otherwise(F.lit(first_page).cast("long")).alias("page"),
+                F.when(F.col("__good"), F.col("__page") + 1).otherwise(first).alias("page"),
                 F.lit(False).alias("good"),
                 F.lit(True).alias("stop"),
             ),
-            F.struct(F.lit(first_page).cast("long").alias("page"), F.lit(False).alias("good"), F.lit(True).alias("stop")),
+            F.struct(first.alias("page"), F.lit(False).alias("good"), F.lit(True).alias("stop")),
         )
     )
     stops = (
         numbered.select(source, marks.alias("m"))
         .groupBy(source, "m.page")
         .agg(F.max("m.good").alias("good"), F.max("m.stop").alias("stop"))
-        .where(F.col("stop") & ~F.col("good") & (F.col("page") >= first_page))
+        .where(F.col("stop") & ~F.col("good") & (F.col("page") >= first))
         .groupBy(source)
         .agg(F.min("page").alias("__stop"))
     )
     # One row per source: staged, so that its true size decides how it is joined.
     kept = spread_join(pages, stage(stops, "stops"), [source], spread_by=page_no)
-    return kept.where((F.col(page_no) >= first_page) & (F.col(page_no) < F.col("__stop"))).select(*pages.columns)
+    return kept.where((F.col(page_no) >= first) & (F.col(page_no) < F.col("__stop"))).select(*pages.columns)
 
 
 def listing_rows(listings: DataFrame, keys: Sequence[str] = ("source", "page_no")) -> DataFrame:

@@ -134,22 +134,24 @@ def first_terminal(
     A job without a terminal status is ``Running`` and all its polls count.
     """
     at = F.struct(F.col(ts).alias("ts"), F.col(poll_id).alias("id"))
+    # As the field of a struct, a null job id is equal to itself.
+    polls = polls.withColumn("__j", F.struct(F.col(job).alias("j")))
     ends = (
         polls.where(F.col(status).isin(*terminal))
-        .groupBy(job)
+        .groupBy("__j")
         .agg(F.min(at).alias("__until"), F.min_by(F.struct(status, reason), at).alias("__end"))
     )
     seen = spread_join(
-        polls.select(job, at.alias("__at")), ends.select(job, "__until"), [job], "left", spread_by="__at"
+        polls.select("__j", at.alias("__at")), ends.select("__j", "__until"), ["__j"], "left", spread_by="__at"
     )
     n_polls = (
         seen.where(F.col("__until").isNull() | (F.col("__at") <= F.col("__until")))
-        .groupBy(job)
+        .groupBy("__j")
         .agg(F.count(F.lit(1)).alias("polls"))
     )
     outcome = F.coalesce(F.col("__end")[status], F.lit("Running"))
-    return n_polls.join(ends, job, "left").select(
-        job,
+    return n_polls.join(ends, "__j", "left").select(
+        F.col("__j.j").alias(job),
         outcome.alias("status"),
         F.col("__until.ts").alias("ended_at"),
         "polls",

@@ -30,7 +30,7 @@ def running_sums(
     partition: Sequence[str] = (),
     ties: Sequence[str] = (),
     totals: Mapping[str, str] | None = None,
-    key_bits: int = 45,
+    key_bits: int = 63,
 ) -> DataFrame:
     """Add, per entry of ``sums``, the sum over all earlier rows (this row not included).
 
@@ -89,7 +89,7 @@ def running_sums(
     )
 
 
-def dense_index(df: DataFrame, order: str, name: str = "position", key_bits: int = 45) -> DataFrame:
+def dense_index(df: DataFrame, order: str, name: str = "position", key_bits: int = 63) -> DataFrame:
     """0-based position of every row in ``order``, without gaps."""
     return running_sums(df, order, {name: F.lit(1).cast("long")}, key_bits=key_bits)
 

@@ -59,6 +59,12 @@ def _mark_over_limit(
     )
 
 
+def _micros(window: str) -> int:
+    """Microseconds of a span such as ``90 seconds`` or ``1 minute``."""
+    amount, unit = window.split(" ")
+    return int(amount) * 1_000_000 * {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400}[unit.removesuffix("s")]
+
+
 def rate_limit(
     calls: DataFrame,
     limit: int = RATE_LIMIT,
@@ -71,11 +77,14 @@ def rate_limit(
 ) -> DataFrame:
     """Add whether a call is among the first ``limit`` of its caller in its calendar window.
 
-    Rejected calls count towards the limit. ``counted`` restricts which calls
+    Rejected calls count towards the limit. A call without a time is in no window and not admitted. ``counted`` restricts which calls
     count at all; the mark of the others has no meaning.
     """
-    windowed = calls.withColumns({"__k": _group_key(by), "__w": F.window(ts, window)["start"]})
-    return _mark_over_limit(windowed, ["__k", "__w"], limit, ts, request_id, name, counted).drop("__k", "__w")
+    # Arithmetic instead of the window function, which drops rows without a time.
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    windowed = calls.withColumns({"__k": _group_key(by), "__w": F.floor(micros / F.lit(_micros(window))).cast("long")})
+    marked = _mark_over_limit(windowed, ["__k", "__w"], limit, ts, request_id, name, counted).drop("__k", "__w")
+    return marked.withColumn(name, F.col(ts).isNotNull() & F.col(name))
 
 
 def rate_limit_anchored(
@@ -94,7 +103,7 @@ def rate_limit_anchored(
     window labelling; the calls themselves meet the list of rejected ids.
     """
     width = window_seconds * 1_000_000
-    narrow = calls.select(
+    narrow = calls.where(F.col(ts).isNotNull()).select(
         _group_key(by).alias("__k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"), F.col(request_id).alias("__id")
     )
     # Read twice: for the cut-offs and for the calls beyond them.
@@ -102,7 +111,7 @@ def rate_limit_anchored(
     marked = _mark_over_limit(labelled, ["__k", "__anchor"], limit, "__t", "__id", "__ok")
     rejected = stage(marked.where(~F.col("__ok")).select(F.col("__id").alias(request_id), F.lit(False).alias("__ok")), "rejected")
     return spread_join(calls, rejected, [request_id], "left", spread_by=request_id).select(
-        *calls.columns, F.coalesce("__ok", F.lit(True)).alias(name)
+        *calls.columns, (F.col(ts).isNotNull() & F.coalesce("__ok", F.lit(True))).alias(name)
     )
 
 
@@ -134,7 +143,7 @@ def verdicts(
     status: Column = (
         F.when(~F.coalesce(F.col(authorized), F.lit(False)), 401)
         .when(F.col("reason").isNotNull(), 422)
-        .when(~F.col("admitted"), 429)
+        .when(~F.col("admitted") & F.col("ts").isNotNull(), 429)
         .when(F.col("clean_question") == "", 400)
         .otherwise(service_status(F.col(error)))
     )

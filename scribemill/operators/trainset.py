@@ -71,7 +71,7 @@ def packed_slices(
     count_tokens: Callable[[Column], Column] = count_whitespace_tokens,
     text: str = "text",
     block_tokens: int = BLOCK_TOKENS,
-    key_bits: int = 45,
+    key_bits: int = 63,
 ) -> DataFrame:
     """Where each text lands when all texts, one separator after each, are cut every ``block_tokens``.
 
@@ -91,7 +91,7 @@ def packed_blocks(
     text: str = "text",
     block_tokens: int = BLOCK_TOKENS,
     keep_partial: bool = True,
-    key_bits: int = 45,
+    key_bits: int = 63,
 ) -> DataFrame:
     """The tokens of every block. A block holds at most ``block_tokens`` tokens, so groups are small.
 
@@ -101,10 +101,13 @@ def packed_blocks(
     count = count_tokens or (lambda c: F.size(tokenize(c)))
     placed = _placed(texts, order, count, text, key_bits)
     tokens = F.concat(tokenize(F.col(text)), F.array(F.lit(separator)))
-    cut = texts.select(order, text).join(placed, order).select(
-        order, tokens.alias("__t"), F.explode(_slices(block_tokens)).alias("s")
+    bound = texts.select(order, text).join(placed, order).select(order, tokens.alias("__t"), _slices(block_tokens).alias("__s"))
+    # Pieces are cut inside the array, so no copy of all tokens goes with each piece.
+    pieces = F.transform(
+        "__s", lambda s: F.struct(s["block"].alias("block"), F.slice(F.col("__t"), s["lo"] + 1, s["hi"] - s["lo"]).alias("t"))
     )
-    piece = F.struct(F.col(order), F.slice("__t", F.col("s.lo") + 1, F.col("s.hi") - F.col("s.lo")).alias("t"))
+    cut = bound.select(order, F.explode(pieces).alias("s"))
+    piece = F.struct(F.col(order), F.col("s.t").alias("t"))
     blocks = cut.groupBy("s.block").agg(F.array_sort(F.collect_list(piece)).alias("__p")).select(
         "block", F.flatten(F.col("__p.t")).alias("tokens")
     )

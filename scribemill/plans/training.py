@@ -21,7 +21,7 @@ from scribemill.operators.pairs import (
 from scribemill.operators.prefix import dense_index, dense_index_by
 from scribemill.operators.trainset import BLOCK_TOKENS, count_whitespace_tokens, packed_slices, training_texts
 from scribemill.session import stage
-from scribemill.sources.readers import JSONL_GLOB, LINE_ORDER, PAIR_SCHEMA, read_jsonl_ordered
+from scribemill.sources.readers import JSONL_GLOB, LINE_ORDER, PAIR_SCHEMA, list_files, read_jsonl_ordered
 
 
 @dataclass(frozen=True)
@@ -57,10 +57,23 @@ def generate_pairs(
 
 def load_training_set(spark: SparkSession, path: str, glob: str | None = JSONL_GLOB) -> tuple[DataFrame, int]:
     """The column ``text`` of a file or folder of pairs, and its row count."""
-    texts = training_texts(read_jsonl_ordered(spark, path, PAIR_SCHEMA, glob))
+    texts = training_texts(_pairs(spark, path, glob))
     return texts, texts.count()
 
 
+def _pairs(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    """Pairs with their place. A folder without a matching file fails instead of giving no rows."""
+    if glob:
+        list_files(spark, path, glob)
+    return read_jsonl_ordered(spark, path, PAIR_SCHEMA, glob)
+
+
+def ordered_training_set(spark: SparkSession, path: str, glob: str | None = JSONL_GLOB) -> DataFrame:
+    """The same texts with their 0-based position in file and line order."""
+    texts = _pairs(spark, path, glob).select(*LINE_ORDER, chat_text(F.col("instruction"), F.col("output")).alias("text"))
+    return dense_index_by(texts, LINE_ORDER).select("position", "text")
+
+
 def pack_folder(
     spark: SparkSession,
     path: str,
@@ -69,8 +82,6 @@ def pack_folder(
     glob: str | None = JSONL_GLOB,
 ) -> DataFrame:
     """Block slices of a folder of pairs, texts in file and line order."""
-    lines = read_jsonl_ordered(spark, path, PAIR_SCHEMA, glob)
-    texts = lines.select(*LINE_ORDER, chat_text(F.col("instruction"), F.col("output")).alias("text"))
-    placed = dense_index_by(texts, LINE_ORDER)
+    placed = ordered_training_set(spark, path, glob)
     return packed_slices(placed, "position", count_tokens, block_tokens=block_tokens)
 

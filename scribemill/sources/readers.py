@@ -12,10 +12,10 @@ from scribemill.operators.corpus import exact_sample
 SPEECH_SCHEMA = "title string, date string, source string, url string, text string"
 PAIR_SCHEMA = "instruction string, input string, output string"
 PAGE_SCHEMA = "page_id long, url string, html string"
-JSONL_GLOB = "*.jsonl"
+# Files by hand end in .jsonl, files that Spark writes in .json.
+JSONL_GLOB = "*.{json,jsonl}"
 LINE_ORDER = ("file", "block", "line")
-# Up to this many sampled files their paths are handed to the reader; beyond it
-# the whole folder is scanned and joined with the sampled paths.
+# Up to this many sampled files their paths also stand in a filter, so that Spark lists only these for reading.
 MAX_PATH_LIST = 10_000
 
 
@@ -76,8 +76,12 @@ def read_jsonl_ordered(spark: SparkSession, path: str, schema: str | StructType,
 
 
 def list_files(spark: SparkSession, path: str, glob: str = JSONL_GLOB) -> DataFrame:
-    """Paths under ``path`` whose name fits ``glob``; contents are not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
+    """Column ``file`` of the files under ``path`` whose name fits ``glob``; contents are not read. A folder without one fails."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    listed = files.select(F.col("_metadata.file_path").alias("file"))
+    if listed.isEmpty():
+        raise FileNotFoundError(f"no file {glob} under {path}")
+    return listed
 
 
 def read_sampled_files(
@@ -85,16 +89,20 @@ def read_sampled_files(
 ) -> DataFrame:
     """All records of ``n`` sampled files; of every file when ``n <= 0`` or there are no more than ``n``.
 
-    The sample is drawn from the listing, so only chosen files are read.
+    The sample is drawn from the listing by the names below ``path``, so it is
+    the same wherever the folder stands. Listing and scan name a file the same
+    way, and the join picks the rows at any ``n``; for small samples a filter on
+    the names lets Spark leave the other files unread.
     """
     if n <= 0:
         return read_jsonl(spark, path, schema, glob)
-    chosen = exact_sample(list_files(spark, path, glob), n, seed, "path")
+    below = F.split_part("file", F.lit("/" + path.rstrip("/").rsplit("/", 1)[-1] + "/"), F.lit(-1))
+    chosen = exact_sample(list_files(spark, path, glob).withColumn("name", below), n, seed, "name").select("file")
+    scan = _lines(spark, path, glob)
     if n <= MAX_PATH_LIST:
-        paths = [row.path for row in chosen.collect()]  # at most n names
-        return read_jsonl(spark, paths, schema) if paths else spark.createDataFrame([], schema)
-    lines = _lines(spark, path, glob).select("value", F.col("_metadata.file_path").alias("path"))
-    return _strict_records(lines.join(chosen, "path", "left_semi"), schema)
+        scan = scan.where(F.col("_metadata.file_path").isin([row.file for row in chosen.collect()]))  # at most n names
+    lines = scan.select("value", F.col("_metadata.file_path").alias("file"))
+    return _strict_records(lines.join(chosen, "file", "left_semi"), schema)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -27,9 +27,10 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_numbered(df: DataFrame, path: str, position: str = "position", per_bucket: int = FILES_PER_BUCKET) -> None:
     """Write the records with their ``file_id``, one folder per ``per_bucket`` positions, in order within it."""
-    bucketed = df.withColumns(
-        {"file_id": file_id(F.col(position)), "bucket": F.call_function("div", F.col(position), F.lit(per_bucket))}
-    )
+    # Folder names have equal lengths, so that they sort like the positions.
+    number = F.call_function("div", F.col(position), F.lit(per_bucket)).cast("string")
+    bucket = F.when(F.length(number) < 12, F.lpad(number, 12, "0")).otherwise(number)
+    bucketed = df.withColumns({"file_id": file_id(F.col(position)), "bucket": bucket})
     (
         bucketed.repartition("bucket")
         .sortWithinPartitions("bucket", position)
@@ -43,7 +44,7 @@ def numbered_pairs(parsed: DataFrame, position: str = "position") -> DataFrame:
     return parsed.select(position, F.posexplode("pairs").alias("pair_no", "pair")).select(position, "pair_no", "pair.*")
 
 
-def record_lines(df: DataFrame, columns: Sequence[str]) -> Column:
+def record_lines(columns: Sequence[str]) -> Column:
     """File content of one record: a JSON object and a newline."""
     return F.concat(F.to_json(F.struct(*columns), _KEEP_NULLS), F.lit("\n"))
 
@@ -61,6 +62,10 @@ def put_files(df: DataFrame, uri: str, position: str = "position", content: str
     bytes. For large corpora use ``write_numbered``.
     """
 
+    local = uri.startswith(("/", "file:"))
+    if local and not df.sparkSession.sparkContext.master.startswith("local["):
+        raise ValueError("executors would write to their own disks; name a shared file system")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 

@@ -74,3 +74,12 @@ def test_jobs_and_models_share_one_table(spark, tmp_path):
     table = record_models(spark.createDataFrame([("m", "arn:x", AT, 0)], "model_name string, model_arn string, written_at timestamp, put_no long"), base)
     rows = {r.job_id: (r.status, r.model_artifact, r.metrics, r.bedrock_model_arn) for r in table.collect()}
     assert rows == {"j": ("Completed", "s3://m", {}, None), "bedrock-import-m": ("Completed", None, None, "arn:x")}
+
+
+def test_a_null_job_id_is_a_job(spark):
+    df = spark.createDataFrame(
+        [(None, 1, 1, "Running", None), (None, 2, 2, "Failed", "why"), (None, 3, 3, "Failed", "later"), ("a", 1, 4, "Running", None)],
+        "job_id string, ts long, poll_id long, status string, reason string",
+    )
+    got = {r.job_id: (r.status, r.polls, r.error) for r in jobs.first_terminal(df).collect()}
+    assert got == {None: ("Failed", 2, "why"), "a": ("Running", 1, None)}

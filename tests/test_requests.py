@@ -200,3 +200,13 @@ def test_payload(spark):
     got = [json.loads(r[0]) for r in df.select(fa.payload(F.col("question"), F.col("max_tokens"), F.col("temperature"))).collect()]
     assert got == [{"question": "q?", "max_tokens": 512, "temperature": 0.7}, {"question": 'a"b', "max_tokens": 7, "temperature": 0.0}]
     assert json.loads(df.select(fa.payload(F.col("question"))).first()[0]) == got[0]
+
+
+def test_calls_without_a_time_stay(spark):
+    rows = [(i, "u", None if i % 3 == 0 else at(0)) for i in range(40)]
+    df = spark.createDataFrame(rows, "request_id long, caller string, ts timestamp")
+    for limited in (requests.rate_limit(df, 5), requests.rate_limit_anchored(df, 5)):
+        got = {r.request_id: r.admitted for r in limited.collect()}
+        assert len(got) == 40
+        assert not any(got[i] for i in range(0, 40, 3))
+        assert sum(got.values()) == 5

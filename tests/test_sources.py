@@ -49,7 +49,28 @@ def test_sampling_reads_only_chosen_files(spark, folder, n, rows):
     df = readers.read_sampled_files(spark, folder, readers.SPEECH_SCHEMA, n)
     assert df.count() == rows
     if n == 3:
-        assert len(df.inputFiles()) == 3
+        df.collect()
+        scan = df._jdf.queryExecution().executedPlan().toString()
+        assert "_metadata.file_path" in scan or "file_path" in scan
+
+
+def test_samples_of_files_with_odd_names(spark, tmp_path, monkeypatch):
+    names = ["a 0", "b[1]", "c%20", "dé", "e+f", "g#h", "i{j}"]
+    for name in names:
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps({"title": name}) + "\n")
+    for n in (3, 6, 7):
+        found = {r.title for r in readers.read_sampled_files(spark, str(tmp_path), readers.SPEECH_SCHEMA, n).collect()}
+        assert len(found) == n and found <= set(names)
+        with monkeypatch.context() as patched:
+            patched.setattr(readers, "MAX_PATH_LIST", 1)
+            joined = readers.read_sampled_files(spark, str(tmp_path), readers.SPEECH_SCHEMA, n)
+            assert {r.title for r in joined.collect()} == found
+
+
+def test_an_empty_match_fails(spark, tmp_path):
+    (tmp_path / "readme.txt").write_text("nothing to read")
+    with pytest.raises(FileNotFoundError):
+        readers.list_files(spark, str(tmp_path))
 
 
 def test_large_samples_join_by_path(spark, folder, monkeypatch):
@@ -91,8 +112,8 @@ def test_numbered_folders(spark, tmp_path):
     df = spark.range(25).select(F.col("id").alias("position"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"))
     writers.write_numbered(df.repartition(4), str(tmp_path / "n"), per_bucket=10)
     files = {p.parent.name: p.read_text().splitlines() for p in (tmp_path / "n").glob("bucket=*/*.json")}
-    assert {k: len(v) for k, v in files.items()} == {"bucket=0": 10, "bucket=1": 10, "bucket=2": 5}
-    assert [json.loads(x)["file_id"] for x in files["bucket=1"]] == [f"{i:05d}" for i in range(10, 20)]
+    assert {k: len(v) for k, v in files.items()} == {"bucket=000000000000": 10, "bucket=000000000001": 10, "bucket=000000000002": 5}
+    assert [json.loads(x)["file_id"] for x in files["bucket=000000000001"]] == [f"{i:05d}" for i in range(10, 20)]
 
 
 def test_one_file_per_record_and_gaps_for_documents_without_pairs(spark, tmp_path):
@@ -109,7 +130,7 @@ def test_one_file_per_record_and_gaps_for_documents_without_pairs(spark, tmp_pat
     assert back.count() == 3
     assert {(r.position, r.pair_no) for r in writers.numbered_pairs(df).collect()} == {(0, 0), (0, 1), (2, 0)}
     record = spark.createDataFrame([(7, "t", None)], "position long, title string, date string")
-    writers.put_files(record.withColumn("content", writers.record_lines(record, ["title", "date"])), f"file://{tmp_path}/one")
+    writers.put_files(record.withColumn("content", writers.record_lines(["title", "date"])), f"file://{tmp_path}/one")
     assert (tmp_path / "one" / "00007.jsonl").read_text() == '{"title":"t","date":null}\n'
 
 

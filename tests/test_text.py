@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -22,11 +23,11 @@ def test_notes_go_in_any_case_and_in_order(spark):
     got = apply(spark, ft.clean_text, [
         "Thank you. [Applause] Yes. [LAUGHTER] So [crosstalk] there.",
         "[laugh[applause]ter]", "[app[laughter]lause]", "a [applauſe] b",
-        "Hello\n\n\n\n\nWorld\n\n\nFoo   bar    baz", "\n \n \n", "a\n \n \nb", "  x \u001c",
+        "Up\n\n\n\nand  down\n\n\n\n\nthe     hill", "\n \n \n", "a\n \n \nb", "  x \u001c",
     ])
     assert got == [
         "Thank you. Yes. So there.", "", "[applause]", "a b",
-        "Hello\n\nWorld\n\nFoo bar baz", "", "a\n \n \nb", "x",
+        "Up\n\nand down\n\nthe hill", "", "a\n \n \nb", "x",
     ]
 
 
@@ -52,12 +53,12 @@ def test_title_key(spark):
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"], exclude_characters="\0"), max_size=20), min_size=50, max_size=100))
-def test_title_key_is_what_python_computes(spark, values):
-    def expected(title):
-        kept = re.sub("[^a-z0-9 ]", "", title.lower()).strip()
-        return re.sub(" +", " ", kept)
-
-    assert apply(spark, ft.title_key, values) == [expected(v) for v in values]
+def test_title_keys_have_their_form(spark, values):
+    keys = apply(spark, ft.title_key, values)
+    assert all(re.fullmatch(r"(?:[a-z0-9]+(?: [a-z0-9]+)*)?", k) for k in keys)
+    assert apply(spark, ft.title_key, keys) == keys
+    marked = [f"- {v.upper()} !" for v in values if v.isascii()]
+    assert apply(spark, ft.title_key, marked) == [k for k, v in zip(keys, values) if v.isascii()]
 
 
 def test_title_phrases(spark):
@@ -76,9 +77,9 @@ def test_render_fills_missing_and_leaves_braces(spark):
 
 def test_control_tokens_go_in_one_pass(spark):
     got = apply(spark, ft.strip_control_tokens, [
-        "[INST] hello [/INST]", "<s>test</s>", "[inst]mixed[/INST]", "[INST][/INST]<s></s>", "[IN[INST]ST]", "<ſ>x",
+        "[INST] what now [/INST]", "<s>plain words</s>", "[Inst]either case[/iNST]", "[INST][/INST]<s></s>", "[IN[INST]ST]", "<ſ>x",
     ])
-    assert got == ["hello", "test", "mixed", "", "[INST]", "x"]
+    assert got == ["what now", "plain words", "either case", "", "[INST]", "x"]
 
 
 def test_chat_text_needs_both_parts(spark):
@@ -94,6 +95,9 @@ def test_chat_text_needs_both_parts(spark):
 
 def test_float_text_is_pythons(spark):
     values = [0.396, 0.85, 1e-5, 1e-4, 1.234e-4, 12345678.0, 1e7, 1.5e15, 1e16, -2.5e-7, 0.0, -0.0, 1e100,
-              float("nan"), float("inf"), float("-inf"), 9007199254740993.0, -98765432.5]
+              float("nan"), float("inf"), float("-inf"), 9007199254740993.0, -98765432.5, 7.03382088603836e18, 2e-3, 5e-324]
+    draw = random.Random(11)
+    values += [draw.uniform(-10, 10) * 10.0 ** draw.randint(-300, 300) for _ in range(3000)]
+    values += [round(draw.uniform(-1000, 1000), draw.randint(0, 6)) for _ in range(1000)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i")
     assert [r[0] for r in df.select(ft.py_float_text(F.col("v"))).collect()] == [str(v) for v in values]

@@ -7,7 +7,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from scribemill.operators import trainset
-from scribemill.plans.training import load_training_set, pack_folder
+from scribemill.plans.training import load_training_set, ordered_training_set, pack_folder
+from scribemill.sources.writers import write_numbered
 
 
 def texts(spark, sizes):
@@ -63,3 +64,27 @@ def test_a_pair_without_output_fails_the_load(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"instruction": "q"}\n')
     with pytest.raises(PySparkException, match="without output"):
         load_training_set(spark, str(tmp_path))[0].collect()
+
+
+def test_written_pairs_are_read_back_in_order(spark, tmp_path):
+    path = str(tmp_path / "pairs")
+    pairs = spark.range(130).select(
+        F.col("id").alias("position"), F.concat(F.lit("q"), "id").alias("instruction"), F.lit("").alias("input"), F.lit("a").alias("output")
+    )
+    write_numbered(pairs.repartition(5), path, per_bucket=10)
+    texts, n = load_training_set(spark, path)
+    assert n == texts.count() == 130
+    got = [r.text for r in ordered_training_set(spark, path).orderBy("position").collect()]
+    assert got == [f"<s>[INST] q{i} [/INST] a</s>" for i in range(130)]
+    assert pack_folder(spark, path).count() >= 130
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "notes.txt").write_text("x")
+    with pytest.raises(FileNotFoundError):
+        load_training_set(spark, str(tmp_path / "other"))
+
+
+def test_blocks_of_one_very_long_text(spark):
+    words = " ".join(f"w{i}" for i in range(60_000))
+    df = spark.createDataFrame([(0, words)], "k long, text string")
+    blocks = trainset.packed_blocks(df, "k").orderBy("block").collect()
+    assert [t for b in blocks for t in b.tokens] == [*words.split(), "</s>"]
