@@ -273,6 +273,6 @@ def test_pipeline_stages(spark, awkward, nothing):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
         if start is awkward:
             assert ids["quality_rules"] == Counter([5, 6, 7, 8, 9, 9, None, -5, 2**62])
-            # The copy without an id goes with the group of 6.
+            # A row without an id is never taken out as a copy.
             assert ids["minhash_near_dedup"] == ids["secret_scans"] == Counter([5, 6, None, -5, 2**62])
             assert set(ids["mixing_sources"]) <= set(ids["secret_scans"])
