@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Paths given out by this process and not yet removed.
+_given: list[str] = []
 
 
 def build_session(app_name: str = "scribemill", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,7 +50,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _given.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove every staged table of this process. Results that still read one must have been written or collected."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in map(hadoop, _given):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _given.clear()
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
