@@ -46,8 +46,8 @@ SEED = 20_240_229
 # Members and shingles of one block; a tile holds two blocks.
 BLOCK_MEMBERS = 256
 BLOCK_SHINGLES = 1 << 18
-# Ids of candidates are broadcast up to this many, joined by a shuffle beyond.
-BROADCAST_IDS = 2_000_000
+# Ids of candidates and hubs are broadcast up to this many, joined by a shuffle beyond.
+BROADCAST_IDS = 500_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -240,6 +240,10 @@ def near_duplicates(
         .where("members > 1")
         .select("hub", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("grams") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     )
+    # Staged, so that its size is known and a hub of very many members can be split in the join.
+    groups = stage(groups, "groups")
+    if groups.count() <= BROADCAST_IDS:
+        groups = F.broadcast(groups)
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiled = stars.join(groups, "hub").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = tiled.select("hub", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "id")
