@@ -20,7 +20,7 @@ from scribemill.llm.secrets import redact_documents
 from scribemill.session import stage
 
 # Ids, or ids with a number, are broadcast up to this many rows and joined by a shuffle beyond.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 200_000
 
 
 def _small(table: DataFrame) -> DataFrame:
