@@ -138,24 +138,33 @@ def body_texts(
     keys: Sequence[str] = ("page_id",),
     html: str = "html",
     min_chars: int = MIN_TEXT_CHARS,
+    wanted: str | None = None,
 ) -> DataFrame:
     """``keys``, ``source`` and ``text``: per selector the first matching element, one text piece per line.
 
-    A page is parsed once for all ``selectors`` (by source name). Pages without HTML,
-    without a match or with fewer than ``min_chars`` characters give no row.
+    A page is parsed once for all ``selectors`` (by source name), or for those
+    that its array column ``wanted`` names, and its tree is let go before the
+    next one. Pages without HTML, without a match or with fewer than
+    ``min_chars`` characters give no row.
     """
     keys = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            trees = [parse(h) for h in batch[html]]
-            for source, selector in selectors.items():
-                found = [tree.first(selector) for tree in trees]
-                texts = [node.text("\n") if node else None for node in found]
-                yield batch[keys].assign(source=source, text=texts)
+            rows, sources, texts = [], [], []
+            for row, page in enumerate(batch[html]):
+                tree = parse(page)
+                for source in batch[wanted].iloc[row] if wanted else selectors:
+                    if node := tree.first(selectors[source]):
+                        rows.append(row)
+                        sources.append(source)
+                        texts.append(node.text("\n"))
+            if rows:
+                yield batch[keys].iloc[rows].assign(source=sources, text=texts)
 
     schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
-    texts = pages.select(*keys, html).where(F.col(html).isNotNull()).mapInPandas(
+    columns = [*keys, html, *([wanted] if wanted else [])]
+    texts = pages.select(*columns).where(F.col(html).isNotNull()).mapInPandas(
         run, f"{schema}, source string, text string"
     )
     return long_enough(texts, min_chars)

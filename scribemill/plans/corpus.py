@@ -80,7 +80,10 @@ def build_corpus(sources: Sequence[Source], articles: DataFrame, min_chars: int
     # Addresses are resolved to page ids first, so each text moves at most once:
     # not at all when the staged index is small enough to broadcast.
     located = stage(spread_join(kept, first_captures(articles), ["url"], spread_by="seq"), "located")
-    texts = body_texts(articles, {s.name: s.body for s, _ in found}, min_chars=min_chars)
+    # Only pages that a kept row points at are parsed, each with the selectors of its own sites.
+    wanted = stage(located.groupBy("page_id").agg(F.collect_set("source").alias("wanted")), "wanted")
+    needed = spread_join(articles.select("page_id", "html"), wanted, ["page_id"], spread_by="page_id")
+    texts = body_texts(needed, {s.name: s.body for s, _ in found}, min_chars=min_chars, wanted="wanted")
     raw = stage(attach_text(located, texts, ["source", "page_id"]).select("seq", *RECORD), "raw-records")
     return Corpus(
         raw=raw,

@@ -83,6 +83,14 @@ def test_one_parse_serves_all_selectors(spark):
     assert {tuple(r) for r in got.collect()} == {(1, "x", "A"), (1, "y", "B"), (2, "y", "C")}
 
 
+def test_a_page_is_read_only_for_the_sites_that_want_it(spark):
+    selectors = {f"s{i}": f"p.c{i}" for i in range(50)}
+    html = "".join(f"<p class='c{i}'>t{i}</p>" for i in range(50))
+    pages = spark.createDataFrame([(1, html, ["s3", "s40"]), (2, html, ["s7"]), (3, html, [])], "page_id long, html string, wanted array<string>")
+    got = extract.body_texts(pages, selectors, min_chars=0, wanted="wanted")
+    assert {tuple(r) for r in got.collect()} == {(1, "s3", "t3"), (1, "s40", "t40"), (2, "s7", "t7")}
+
+
 def test_tree_survives_broken_markup():
     tree = parse("<div><p>a<div class=k>b</b></p>c</span></div></div>d<p>e")
     assert tree.text("|") == "a|b|c|d|e"
