@@ -68,14 +68,15 @@ def term_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             found: list[int] = []
             for one in batch.column(0):
-                own = set()
-                for term in set(_terms((one.as_py() or "").lower())):
-                    place = known.get(term)
-                    if place is None:
-                        if len(known) >= REMEMBERED_TERMS:
-                            known.clear()
-                        place = known[term] = term_hash(term) & PLACE
-                    own.add(place)
+                terms = set(_terms((one.as_py() or "").lower()))
+                own = set(map(known.get, terms))
+                if None in own:
+                    own.discard(None)
+                    new = {term: term_hash(term) & PLACE for term in terms if term not in known}
+                    own.update(new.values())
+                    if len(known) + len(new) > REMEMBERED_TERMS:
+                        known.clear()
+                    known.update(new)
                 found.extend(own)
                 if len(found) > 4_000_000:
                     total += np.bincount(np.array(found, dtype=np.int64), minlength=PLACE + 1)
@@ -126,10 +127,11 @@ class Fingerprinter:
         return value
 
     def of(self, text: str) -> str:
-        known, values = self.known, set()
-        for term in set(_terms(text.lower())):
-            value = known.get(term)
-            values.add(self._place(term) if value is None else value)
+        terms, known = set(_terms(text.lower())), self.known
+        values = set(map(known.get, terms))
+        if None in values:
+            values.discard(None)
+            values.update([self._place(term) for term in terms if term not in known])
         values.discard(0)
         if not values:
             return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "replace"))[:4] * (DRAWS * RATES)
