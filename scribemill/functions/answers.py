@@ -84,16 +84,23 @@ def caller(user_id: Column, address: Column) -> Column:
     return F.coalesce(F.nullif(user_id.cast("string"), F.lit("")), address.cast("string"))
 
 
-def invalid_reason(question: Column, max_tokens: Column, temperature: Column) -> Column:
+def invalid_reason(
+    question: Column,
+    max_tokens: Column,
+    temperature: Column,
+    question_chars: int = MAX_QUESTION_CHARS,
+    tokens_limit: int = MAX_TOKENS_LIMIT,
+    temperature_limit: float = MAX_TEMPERATURE,
+) -> Column:
     """Why a request is rejected before it is read any further; null when it is valid."""
     tokens = F.coalesce(max_tokens, F.lit(DEFAULT_MAX_TOKENS))
     temp = F.coalesce(temperature, F.lit(DEFAULT_TEMPERATURE))
     return (
         F.when(question.isNull(), "question missing")
         .when(F.length(question) < 1, "question empty")
-        .when(F.length(question) > MAX_QUESTION_CHARS, "question too long")
-        .when((tokens < 1) | (tokens > MAX_TOKENS_LIMIT), "max_tokens out of range")
-        .when(F.isnan(temp) | (temp < 0.0) | (temp > MAX_TEMPERATURE), "temperature out of range")
+        .when(F.length(question) > question_chars, "question too long")
+        .when((tokens < 1) | (tokens > tokens_limit), "max_tokens out of range")
+        .when(F.isnan(temp) | (temp < 0.0) | (temp > temperature_limit), "temperature out of range")
     )
 
 

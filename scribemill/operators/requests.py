@@ -115,13 +115,16 @@ def rate_limit_anchored(
     )
 
 
-def validate(log: DataFrame) -> DataFrame:
-    """Add ``caller``, ``clean_question`` and ``reason`` (null when the request is valid)."""
+def validate(log: DataFrame, **limits: float) -> DataFrame:
+    """Add ``caller``, ``clean_question`` and ``reason`` (null when the request is valid).
+
+    ``limits`` are those of ``invalid_reason``.
+    """
     return log.withColumns(
         {
             "caller": caller(F.col("user_id"), F.col("client_addr")),
             "clean_question": strip_control_tokens(F.col("question")),
-            "reason": invalid_reason(F.col("question"), F.col("max_tokens"), F.col("temperature")),
+            "reason": invalid_reason(F.col("question"), F.col("max_tokens"), F.col("temperature"), **limits),
         }
     )
 
@@ -132,12 +135,13 @@ def verdicts(
     window: str = RATE_WINDOW,
     error: str = "error",
     authorized: str = "authorized",
+    **limits: float,
 ) -> DataFrame:
     """HTTP status of every request: 401, 422, 429, 400, then what the service answered.
 
     Only calls that pass the first two checks count towards the rate limit.
     """
-    checked = validate(log)
+    checked = validate(log, **limits)
     reaches = F.col(authorized) & F.col("reason").isNull()
     limited = rate_limit(checked, limit, window, counted=reaches)
     status: Column = (

@@ -114,14 +114,16 @@ def packed_blocks(
     return blocks if keep_partial else blocks.where(F.size("tokens") == block_tokens)
 
 
-def readiness(pairs: DataFrame) -> DataFrame:
+def readiness(
+    pairs: DataFrame, too_few: int = TOO_FEW, wanted: int = WANTED, comfortable: int = COMFORTABLE, diminishing: int = DIMINISHING
+) -> DataFrame:
     """Number of pairs and how that compares with the wanted size."""
     n = F.col("pairs")
     return pairs.agg(F.count(F.lit(1)).alias("pairs")).withColumn(
         "verdict",
-        F.when(n <= TOO_FEW, "too few")
-        .when(n < WANTED, "below the wanted size")
-        .when(n < COMFORTABLE, "enough")
-        .when(n <= DIMINISHING, "comfortable")
+        F.when(n <= too_few, "too few")
+        .when(n < wanted, "below the wanted size")
+        .when(n < comfortable, "enough")
+        .when(n <= diminishing, "comfortable")
         .otherwise("diminishing returns"),
     )

@@ -210,3 +210,12 @@ def test_calls_without_a_time_stay(spark):
         assert len(got) == 40
         assert not any(got[i] for i in range(0, 40, 3))
         assert sum(got.values()) == 5
+
+
+def test_request_limits_are_arguments(spark):
+    df = spark.createDataFrame([("q" * 20, 100, 1.0)], "question string, max_tokens int, temperature double")
+    columns = [F.col(c) for c in df.columns]
+    assert df.select(fa.invalid_reason(*columns)).first()[0] is None
+    assert df.select(fa.invalid_reason(*columns, question_chars=10)).first()[0] == "question too long"
+    assert df.select(fa.invalid_reason(*columns, tokens_limit=50)).first()[0] == "max_tokens out of range"
+    assert df.select(fa.invalid_reason(*columns, temperature_limit=0.5)).first()[0] == "temperature out of range"

@@ -88,3 +88,9 @@ def test_blocks_of_one_very_long_text(spark):
     df = spark.createDataFrame([(0, words)], "k long, text string")
     blocks = trainset.packed_blocks(df, "k").orderBy("block").collect()
     assert [t for b in blocks for t in b.tokens] == [*words.split(), "</s>"]
+
+
+def test_readiness_thresholds_are_arguments(spark):
+    df = spark.range(30).toDF("k")
+    assert trainset.readiness(df, too_few=30).first().verdict == "too few"
+    assert trainset.readiness(df, too_few=1, wanted=5, comfortable=10, diminishing=20).first().verdict == "diminishing returns"
