@@ -1,9 +1,9 @@
 """I-Match fingerprints: hashes of the terms that fall into randomised lexicons.
 
 The lexicon holds terms whose inverse document frequency, over all documents,
-lies in a band. Terms are counted in ``2 ** LEXICON_BITS`` hashed places, so
-the counts have a fixed size at any number of documents and the band is one bit
-per place (512 kB), which goes to all tasks. Each of ``DRAWS`` random draws deals
+lies in a band. Documents are counted per term, by its 63-bit hash, and the
+sorted hashes of the terms in the band go to all tasks: eight bytes a term, as
+many as the vocabulary has. Each of ``DRAWS`` random draws deals
 the lexicon into ``RATES`` subsets of a half, a quarter, an eighth and so on of
 its terms. A fingerprint has one hash per subset, over the sorted distinct terms
 that the text shares with it. The likeness of two fingerprints is the share of
@@ -11,14 +11,15 @@ equal hashes among the subsets that hit either text, counted over the rates at
 which a good part of the subsets hits neither: larger subsets differ as soon as
 one term does. Equal fingerprints have likeness 1.
 
-Scale: one pass counts terms, with counts summed per task before they move; the
+Scale: one pass counts terms, with counts summed per task before they move, and
+terms out of the band never leave the executors; the
 second pass moves each text once, to a range of ids, because a text is compared
 with its successor. The first text of a range is also sent to the range before
 it. Ranges are streamed, so a task holds two texts at a time.
 
 Defined results: a null text counts as empty. A text without any term in the
-band has a digest of itself in every place, so equal texts always have equal
-fingerprints. Rows follow by id (null first) and, for equal ids, by text; the
+band has a piece of one long digest of itself in every place, so equal texts
+always have equal fingerprints and different ones do not. Rows follow by id (null first) and, for equal ids, by text; the
 successor of the last row is the first, of an only row the row itself.
 """
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,6 @@ from pyspark.sql import functions as F
 
 from scribemill.llm.common import file_partitions, small_table
 
-LEXICON_BITS = 22
 DRAWS = 12
 RATES = 10
 # A rate counts while at most this share of its subsets hits.
@@ -46,9 +47,12 @@ EMPTY = "----"
 MIN_DOCUMENTS = 2
 MAX_SHARE = 0.05
 REMEMBERED_TERMS = 1_000_000
+# Terms of documents that a task counts at a time.
+COUNTED_TERMS = 2_000_000
 RANGES_PER_TASK = 4
 NO_ID = -(2**63)
-PLACE = (1 << LEXICON_BITS) - 1
+# A term's place is its hash without the sign.
+PLACE = (1 << 63) - 1
 RESULT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
@@ -61,12 +65,18 @@ def term_hash(term: str) -> int:
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """Documents per hashed place, and in place -1 all documents. ``texts`` has one column."""
+    """Documents per term, by its place, and in place -1 all documents. ``texts`` has one column."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, documents, known = np.zeros(PLACE + 1, dtype=np.int64), 0, {}
+        documents, known, found = 0, {}, array("q")
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            places, n = np.unique(np.frombuffer(found, dtype=np.int64), return_counts=True)
+            for at in range(0, len(places), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(places[part], pa.int64()), pa.array(n[part], pa.int64())], names=["place", "n"])
+
         for batch in batches:
-            found: list[int] = []
             for one in batch.column(0):
                 terms = set(_terms((one.as_py() or "").lower()))
                 own = set(map(known.get, terms))
@@ -78,60 +88,70 @@ def term_counts(texts: DataFrame) -> DataFrame:
                         known.clear()
                     known.update(new)
                 found.extend(own)
-                if len(found) > 4_000_000:
-                    total += np.bincount(np.array(found, dtype=np.int64), minlength=PLACE + 1)
-                    found = []
-            if found:
-                total += np.bincount(np.array(found, dtype=np.int64), minlength=PLACE + 1)
+                if len(found) > COUNTED_TERMS:
+                    yield from counted()
+                    found = array("q")
             documents += batch.num_rows
-        places = np.flatnonzero(total)
-        for at in range(0, len(places), 100_000):
-            part = places[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["place", "n"])
+        yield from counted()
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([documents], pa.int64())], names=["place", "n"])
 
     return texts.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
 
-def lexicon_bits(texts: DataFrame, min_documents: int, max_share: float) -> np.ndarray:
-    """Whether each place is in the band. At most 65,536 rows of 64 bits come to the driver."""
+class Lexicon:
+    """The places of the terms in the band, in order."""
+
+    def __init__(self, places: np.ndarray):
+        self.places = np.sort(places)
+
+    def holds(self, places: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.places, places)
+        return self.places.take(at, mode="clip") == places if len(self.places) else np.zeros(len(places), dtype=bool)
+
+    def __getitem__(self, place: int) -> int:
+        return int(self.holds(np.array([place], dtype=np.int64))[0])
+
+
+def lexicon_bits(texts: DataFrame, min_documents: int, max_share: float) -> Lexicon:
+    """Whether each place is in the band. The places come to the driver packed, eight bytes a term in the band."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = [batch.column(0).to_numpy() for batch in batches]
+        if places:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(places).tobytes()], pa.binary())], names=["places"])
+
     counts = term_counts(texts).persist()
     documents = counts.where("place = -1").agg(F.sum("n")).first()[0] or 0
     inside = counts.where((F.col("place") >= 0) & (F.col("n") >= min_documents) & (F.col("n") <= max(min_documents, max_share * documents)))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
-    words = inside.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    packed = [bytes(row["places"]) for row in inside.select("place").mapInArrow(pack, "places binary").collect()]
     counts.unpersist()
-    packed = np.zeros((PLACE + 1) // 64, dtype=np.int64)
-    for word, bits in words:
-        packed[word] = bits
-    return np.unpackbits(packed.view(np.uint8), bitorder="little")
+    return Lexicon(np.frombuffer(b"".join(packed), dtype=np.int64))
 
 
 class Fingerprinter:
-    """Fingerprints of texts against a lexicon of hashed places."""
+    """Fingerprints of texts against a lexicon."""
 
-    def __init__(self, inside: np.ndarray):
-        self.inside = np.packbits(inside)
+    def __init__(self, inside: Lexicon):
+        self.inside = inside
         self.factors = np.random.default_rng(9_176).integers(1, 2**63, DRAWS, dtype=np.uint64) | np.uint64(1)
         self.known: dict[str, int] = {}
 
-    def _place(self, term: str) -> int:
-        """The term's hash when it is in the band, else 0."""
-        value = term_hash(term)
-        at = value & PLACE
-        if not self.inside[at >> 3] >> (7 - (at & 7)) & 1:
-            value = 0
-        if len(self.known) >= REMEMBERED_TERMS:
+    def _places(self, terms: list[str]) -> list[int]:
+        """The terms' hashes, 0 for those that are not in the band."""
+        values = np.fromiter(map(term_hash, terms), dtype=np.uint64, count=len(terms))
+        values[~self.inside.holds((values & np.uint64(PLACE)).view(np.int64))] = 0
+        values = values.tolist()
+        if len(self.known) + len(values) > REMEMBERED_TERMS:
             self.known.clear()
-        self.known[term] = value
-        return value
+        self.known.update(zip(terms, values))
+        return values
 
     def of(self, text: str) -> str:
         terms, known = set(_terms(text.lower())), self.known
         values = set(map(known.get, terms))
         if None in values:
             values.discard(None)
-            values.update([self._place(term) for term in terms if term not in known])
+            values.update(self._places([term for term in terms if term not in known]))
         values.discard(0)
         if not values:
             return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "replace"))[:4] * (DRAWS * RATES)
