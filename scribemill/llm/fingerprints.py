@@ -154,7 +154,7 @@ class Fingerprinter:
             values.update(self._places([term for term in terms if term not in known]))
         values.discard(0)
         if not values:
-            return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "replace"))[:4] * (DRAWS * RATES)
+            return hashlib.shake_128(text.encode("utf-8", "replace")).hexdigest(2 * DRAWS * RATES)
         hashed = np.sort(np.fromiter(values, dtype=np.uint64, count=len(values)))
         mixed = hashed[None, :] * self.factors[:, None]
         mixed ^= mixed >> np.uint64(32)

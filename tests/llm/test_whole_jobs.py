@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from scribemill.llm import fingerprints
 from tests.llm.conftest import table
 
@@ -29,3 +31,13 @@ def test_counts_in_several_rounds(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "COUNTED_TERMS", 5)
     assert {r.place: r.n for r in fingerprints.term_counts(docs.select("text")).collect()} == whole
     assert sorted(whole.values()) == [2] * 20 + [40, 40]
+
+
+def test_texts_without_terms_in_the_band_have_their_own_fingerprints():
+    """More texts than 16 bits can tell apart; two of them share next to no cell."""
+    maker = fingerprints.Fingerprinter(fingerprints.Lexicon(np.empty(0, dtype=np.int64)))
+    made = [maker.of(f"Text number {i}.") for i in range(70_000)]
+    assert {len(f) for f in made} == {4 * fingerprints.DRAWS * fingerprints.RATES}
+    assert len(set(made)) == len(made)
+    assert maker.of("Text number 5.") == made[5]
+    assert max(fingerprints.likeness(a, b) for a, b in zip(made[:2000], made[1:])) < 0.1
