@@ -35,8 +35,13 @@ TREES, DEPTH, SEED = 24, 7, 17
 THRESHOLD = 0.5
 CONTEXT = 32
 MASK = "<SECRET>"
-BODY = r"[A-Za-z0-9+/_=.\-]"
-CANDIDATE = rf"(?<!{BODY})(?=[A-Za-z+/_=.\-]{{0,200}}[0-9])(?=[0-9+/_=.\-]{{0,200}}[A-Za-z]){BODY}{{16,}}"
+BODY = r"[A-Za-z0-9+/_.\-]"
+# An equals sign only pads the end of a run, so that the value of NAME=value starts behind it.
+END = r"(?![A-Za-z0-9+/_=.\-])"
+CANDIDATE = (
+    rf"(?<!{BODY})(?=[A-Za-z+/_.\-]{{0,200}}[0-9])(?=[0-9+/_.\-]{{0,200}}[A-Za-z])"
+    rf"(?:{BODY}{{16,}}(?:={{1,2}}{END})?|{BODY}{{15}}={{1,2}}{END}|{BODY}{{14}}=={END})"
+)
 
 # Names that announce a secret, names that announce something else, and common words in identifiers.
 SECRET_NAMES = ("token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "credential", "auth", "bearer", "key")

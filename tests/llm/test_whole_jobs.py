@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from scribemill.llm import fingerprints
+from scribemill.llm import fingerprints, secrets
 from tests.llm.conftest import table
 
 
@@ -41,3 +41,15 @@ def test_texts_without_terms_in_the_band_have_their_own_fingerprints():
     assert len(set(made)) == len(made)
     assert maker.of("Text number 5.") == made[5]
     assert max(fingerprints.likeness(a, b) for a, b in zip(made[:2000], made[1:])) < 0.1
+
+
+def test_unquoted_assignments(spark):
+    """The value of NAME=value is judged and masked without its name; padding stays part of a value."""
+    key, padded = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "q83vEjRWeJq7zN3u/wARIg=="
+    texts = [f"password={key}", f"# settings\nAPI_TOKEN={key}\nDEBUG=1", f"GET /v1/list?page=2&access_key={key} was sent", f"secret_key={padded} set"]
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    found = {r.id: r for r in secrets.candidates(docs, "doc_id", "text", None).where("value like '9f%' or value like 'q8%'").collect()}
+    assert [found[i].value for i in range(4)] == [key, key, key, padded]
+    assert found[0].left == "password=" and found[1].left.endswith("API_TOKEN=")
+    masked = [r.text for r in secrets.redact_documents(docs).orderBy("doc_id").collect()]
+    assert masked == [t.replace(key, "<SECRET>").replace(padded, "<SECRET>") for t in texts]
