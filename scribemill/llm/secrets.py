@@ -12,8 +12,8 @@ All of it is column expressions and the DataFrame-based learner. Texts are read
 once for the candidates; only the few candidates move. Redaction is a second
 read of the texts, joined with the findings by id.
 
-Defined results: a null or empty text has no candidates. A value is judged once
-per document, at its first place. Rows with equal ids (null included) share
+Defined results: a null or empty text has no candidates. A value is judged
+at each of its places in a document, and the highest score counts. Rows with equal ids (null included) share
 their findings. Without any candidate nothing is trained.
 """
 
@@ -101,21 +101,26 @@ def features(findings: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, id_column: str, text: str, path: str | None) -> DataFrame:
-    """Columns id, value, left, right and path, one row per distinct candidate of a document."""
+    """Columns id, row, value, left, right and path, one row per candidate of a document and place. ``row`` tells rows of equal ids apart.
+
+    The text is cut at the candidates. Two candidates have ``CONTEXT`` characters at least, so the neighbours of one lie
+    in the two candidates and the pieces before and behind it.
+    """
     rows = docs.select(
-        F.col(id_column).alias("id"), F.col(text).alias("text"), (F.col(path).cast("string") if path else F.lit("")).alias("path")
+        F.col(id_column).alias("id"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col(text).alias("text"),
+        (F.col(path).cast("string") if path else F.lit("")).alias("path"),
     ).where(F.col("text").rlike(CANDIDATE))
-    values = F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), 0))
+    cut = rows.select("id", "row", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("values"), F.split("text", CANDIDATE, -1).alias("pieces"))
+    part = lambda parts, i: F.coalesce(F.get(F.col(parts), i), F.lit(""))
 
-    def placed(v: Column) -> Column:
-        at = F.call_function("instr", F.col("text"), v)
-        return F.struct(
-            v.alias("value"),
-            F.substring(F.col("text"), F.greatest(F.lit(1), at - CONTEXT), F.least(F.lit(CONTEXT), at - 1)).alias("left"),
-            F.substring(F.col("text"), at + F.length(v), F.lit(CONTEXT)).alias("right"),
-        )
+    def placed(v: Column, i: Column) -> Column:
+        before = F.concat(part("values", i - 2), part("pieces", i - 1), part("values", i - 1), part("pieces", i))
+        behind = F.concat(part("pieces", i + 1), part("values", i + 1), part("pieces", i + 2), part("values", i + 2))
+        return F.struct(v.alias("value"), F.right(before, F.lit(CONTEXT)).alias("left"), F.left(behind, F.lit(CONTEXT)).alias("right"))
 
-    return rows.select("id", "path", F.explode(F.transform(values, placed)).alias("f")).select("id", "path", "f.*")
+    return cut.select("id", "row", "path", F.explode(F.transform("values", placed)).alias("f")).select("id", "row", "path", "f.*")
 
 
 def labelled_findings(spark, rows: int = LABELLED_ROWS) -> DataFrame:
@@ -203,6 +208,7 @@ def scan_secrets(
         scored = found.withColumn("score", F.lit(0.0))
     else:
         scored = score(found, train_forest(labelled if labelled is not None else labelled_findings(spark)))
+    scored = scored.groupBy("id", "row", "value").agg(F.max("score").alias("score"))
     # Longest first, so that redacting one value never cuts into another.
     secret = F.when(F.col("score") >= threshold, F.struct((-F.length("value")).alias("n"), F.col("value").alias("value")))
     return scored.groupBy("id").agg(

@@ -53,3 +53,21 @@ def test_unquoted_assignments(spark):
     assert found[0].left == "password=" and found[1].left.endswith("API_TOKEN=")
     masked = [r.text for r in secrets.redact_documents(docs).orderBy("doc_id").collect()]
     assert masked == [t.replace(key, "<SECRET>").replace(padded, "<SECRET>") for t in texts]
+
+
+def test_values_are_judged_at_every_place(spark):
+    """A value shown first in a harmless place, or inside a longer run, and later as a token is a secret."""
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    later = f'The value is set as token = "{key}" here.'
+    texts = [f"commit {key} was merged. {later}", f"see build/{key}/log.txt of the day. {later}", f"commit {key} was merged and commit {key} was not"]
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    assert [got[i].secrets for i in range(3)] == [[key], [key], []]
+    assert [got[i].n_candidates for i in range(3)] == [1, 2, 1]
+    for r in secrets.candidates(docs, "doc_id", "text", None).collect():
+        assert r.left + r.value + r.right in texts[r.id]
+        assert len(r.left) == 32 or texts[r.id].startswith(r.left + r.value)
+    close = " ".join(f"a{i}bcdefghijklmno" for i in range(5))
+    for r in secrets.candidates(table(spark, [(1, close, "en", "a")]), "doc_id", "text", None).collect():
+        at = close.index(r.value)
+        assert (r.left, r.right) == (close[max(0, at - 32) : at], close[at + 16 : at + 48])
