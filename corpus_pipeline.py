@@ -15,7 +15,7 @@ from scribemill.llm.bpe_automaton import encode_documents
 from scribemill.llm.common import documents, fresh
 from scribemill.llm.mixing import mix_sources
 from scribemill.llm.neardup import near_duplicates
-from scribemill.llm.quality import quality_rules
+from scribemill.llm.quality import MAX_PHRASE_WORDS, quality_rules
 from scribemill.llm.secrets import redact_documents
 from scribemill.session import stage
 
@@ -37,9 +37,9 @@ def _with_text(docs: DataFrame, text: str) -> list:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines that break a rule are cut from the others."""
+    """Rejected documents go; lines that break a rule are cut from the others. A phrase of page furniture condemns short lines only."""
     prefix = fresh("quality")
-    kept = quality_rules(docs, prefix=prefix).where(f"{prefix}kept")
+    kept = quality_rules(docs, prefix=prefix, max_phrase_words=MAX_PHRASE_WORDS).where(f"{prefix}kept")
     return kept.select(*_with_text(docs, f"{prefix}clean_text"))
 
 

@@ -52,6 +52,8 @@ BOILERPLATE = (
 )
 MAX_SYMBOL_PERCENT = 5
 MAX_MENU_WORDS = 12
+# Where the phrase rule is kept to short lines: the words of a line of page furniture.
+MAX_PHRASE_WORDS = 30
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -67,13 +69,15 @@ def line_fails(
     furniture: Column,
     menu_words: Sequence[str] = MENU_WORDS,
     boilerplate: Sequence[str] = BOILERPLATE,
+    max_phrase_words: int | None = None,
 ) -> Column:
     """Whether a line with a word breaks one of the three rules.
 
     Punctuation: no sentence mark anywhere, more than 5 % symbols, or a doubled
     exclamation mark behind more than half of its words. Navigation: at most 12
     words of which two menu separators, or a menu label, make a menu entry.
-    Boilerplate: one of the phrases. The four flags tell whether the whole text
+    Boilerplate: one of the phrases, in a line of at most ``max_phrase_words``
+    words if that is given. The four flags tell whether the whole text
     has a symbol, a doubled exclamation mark, a menu separator or a phrase at
     all, so that lines of ordinary texts are not searched for them.
     """
@@ -87,7 +91,10 @@ def line_fails(
     navigation = (F.length(line) <= 60) & line.rlike(f"(?i)^\\s*(?:{labels})\\b.{{0,20}}$") | (
         menus & line.rlike(f"{MENU_MARKS}.*{MENU_MARKS}") & (words <= MAX_MENU_WORDS)
     )
-    return punctuation | navigation | (furniture & _has_phrase(line, boilerplate))
+    phrase = furniture & _has_phrase(line, boilerplate)
+    if max_phrase_words is not None:
+        phrase = phrase & (words <= max_phrase_words)
+    return punctuation | navigation | phrase
 
 
 def _has_phrase(text: Column, phrases: Sequence[str]) -> Column:
@@ -177,6 +184,7 @@ def quality_rules(
     max_repeated_percent: int = MAX_REPEATED_PERCENT,
     max_lost_percent: int = MAX_LOST_PERCENT,
     prefix: str = "",
+    max_phrase_words: int | None = None,
 ) -> DataFrame:
     """Add the counts, the verdict and the cleaned text to every row.
 
@@ -203,7 +211,7 @@ def quality_rules(
         ),
     )
     f = F.col(flags)
-    df = df.withColumn(bad, F.filter(F.col(lines), lambda x: line_fails(x, f["symbols"] > 0, f["shouts"], f["menus"], f["furniture"])))
+    df = df.withColumn(bad, F.filter(F.col(lines), lambda x: line_fails(x, f["symbols"] > 0, f["shouts"], f["menus"], f["furniture"], max_phrase_words=max_phrase_words)))
     # The counts go through a generator: the optimiser does not copy what they are made of into a filter on the verdict.
     counts = F.struct(
         F.size(w).cast("long").alias("n_words"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+import corpus_pipeline
 from scribemill.llm import fingerprints, secrets
-from tests.llm.conftest import table
+from tests.llm.conftest import PROSE, prose, table
 
 
 def test_lexicon_tells_terms_apart_that_share_low_bits(spark):
@@ -71,3 +72,11 @@ def test_values_are_judged_at_every_place(spark):
     for r in secrets.candidates(table(spark, [(1, close, "en", "a")]), "doc_id", "text", None).collect():
         at = close.index(r.value)
         assert (r.left, r.right) == (close[max(0, at - 32) : at], close[at + 16 : at + 48])
+
+
+def test_pipeline_keeps_long_lines_with_a_phrase(spark):
+    """A clean document in one line that names a phrase once stays whole; a short line of furniture goes."""
+    long = prose(4, 80) + " The minister asked for a privacy policy and everyone could read more. " + prose(6, 80)
+    docs = table(spark, [(1, long, "en", "a"), (2, PROSE + prose(8, 80) + "\nRead more about it here.", "en", "a")])
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality_stage(spark, docs, "").collect()}
+    assert got == {1: long, 2: PROSE + prose(8, 80)}
