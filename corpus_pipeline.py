@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scribemill.llm.bpe_automaton import encode_documents
 from scribemill.llm.common import documents, fresh
 from scribemill.llm.mixing import mix_sources
-from scribemill.llm.neardup import near_duplicates
+from scribemill.llm.neardup import SHINGLE_WORDS, near_duplicates
 from scribemill.llm.quality import MAX_PHRASE_WORDS, quality_rules
 from scribemill.llm.secrets import redact_documents
 from scribemill.session import stage
@@ -43,9 +43,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.select(*_with_text(docs, f"{prefix}clean_text"))
 
 
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """One document of each group stays, the one with the smallest id. Documents without an id all stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
+    found = near_duplicates(docs.select("doc_id", "text"), shingle_words=shingle_words)
     gone = stage(found.where("not kept").select("doc_id").distinct(), "gone")
     left = docs.join(_small(gone), "doc_id", "left_anti")
     repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")

@@ -80,3 +80,12 @@ def test_pipeline_keeps_long_lines_with_a_phrase(spark):
     docs = table(spark, [(1, long, "en", "a"), (2, PROSE + prose(8, 80) + "\nRead more about it here.", "en", "a")])
     got = {r.doc_id: r.text for r in corpus_pipeline.quality_stage(spark, docs, "").collect()}
     assert got == {1: long, 2: PROSE + prose(8, 80)}
+
+
+def test_pipeline_stage_takes_longer_shingles(spark):
+    """Two texts that are near copies by two words, not by five."""
+    words = prose(3, 300).split(" ")
+    changed = [f"other{i}" if i % 20 == 7 else w for i, w in enumerate(words)]
+    docs = table(spark, [(1, " ".join(words), "en", "a"), (2, " ".join(changed), "en", "a")])
+    left = lambda **n: sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "", **n).collect())
+    assert (left(), left(shingle_words=5)) == ([1], [1, 2])
