@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scribemill.llm import common
 from scribemill.llm.oracles import ORACLES
 from scribemill.llm.bpe_automaton import encode_documents
+from scribemill.llm.centroids import cluster_vectors
 from scribemill.llm.chat import format_chats
 from scribemill.llm.fingerprints import fingerprints
 from scribemill.llm.licenses import scan_licenses
@@ -19,7 +20,10 @@ from scribemill.llm.neardup import near_duplicates
 from scribemill.llm.quality import quality_rules
 from scribemill.llm.secrets import scan_secrets
 from scribemill.llm.sharding import shard_by_bytes
+from scribemill.llm.spelling import spelling_groups
 from scribemill.llm.token_counts import count_tokens
+from scribemill.llm.web_archives import archive_pages
+from scribemill.session import new_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -112,3 +116,18 @@ def op6_chat_snapshots(spark, sf):
 @query
 def op8_license_digests(spark, sf):
     return scan_licenses(common.documents(spark, sf).select("doc_id", "text"))
+
+
+@query
+def op11_spelling_variants(spark, sf):
+    return spelling_groups(common.documents(spark, sf).select("doc_id", "text"))
+
+
+@query
+def op12_laesa_clusters(spark, sf):
+    return cluster_vectors(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+@query
+def op13_web_archives(spark, sf):
+    return archive_pages(spark.read.parquet(f"{sf}/pages.parquet"), new_path(spark, "packages"))

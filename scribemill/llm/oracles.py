@@ -117,3 +117,89 @@ SELECT d.doc_id, d.digest, license, coalesce(line_licenses, '') AS line_licenses
 FROM (SELECT doc_id, sha256({_canonical("text")}) AS digest FROM documents) d
 LEFT JOIN known USING (digest) LEFT JOIN lines ON d.doc_id IS NOT DISTINCT FROM lines.doc_id
 """
+
+# The crc32 of a string is formed by one join a byte; near words meet by the same string without one of their characters.
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), seen AS (
+  SELECT run, count(*) AS c, hex(encode(id || ':' || run)) AS bytes FROM runs GROUP BY id, run
+), bits AS (
+  SELECT range AS place, 0 AS step, range AS v FROM range(256)
+  UNION ALL SELECT place, step + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE step < 8
+), crc AS (
+  SELECT run, c, bytes, 4294967295 AS v FROM seen
+  UNION ALL
+  SELECT run, c, substr(bytes, 3), xor(crc.v >> 8, t.v) FROM crc JOIN (SELECT place, v FROM bits WHERE step = 8) t
+    ON t.place = xor(crc.v, ('0x' || substr(bytes, 1, 2))::BIGINT) & 255
+  WHERE bytes <> ''
+), hashed AS (
+  SELECT run, c, xor(v, 4294967295) AS h FROM crc WHERE bytes = ''
+), counted AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(c)::BIGINT AS n
+  FROM hashed GROUP BY 1
+), words AS MATERIALIZED (
+  SELECT word, n FROM counted WHERE length(word) >= 5 AND n >= 3
+), gone AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM gone a JOIN gone b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gone a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM gone a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, encode(other))) AS other FROM near GROUP BY word
+), summary AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root FROM summary
+  UNION ALL SELECT chain.word, s.form FROM chain JOIN summary s ON s.word = chain.root WHERE s.form IS NOT NULL
+)
+SELECT s.word, s.form, c.root, s.n, s.n_near::BIGINT AS n_near, s.form_n
+FROM summary s JOIN (SELECT chain.word, chain.root FROM chain JOIN summary e ON e.word = chain.root WHERE e.form IS NULL) c USING (word)
+"""
+
+
+def _rounds(rounds: int) -> str:
+    """Each round: distances to all centroids, the nearest, and the floor of each component's mean."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (
+  SELECT rn, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d
+  FROM (SELECT rn, cluster, sum((x.val - c.val) * (x.val - c.val))::BIGINT AS d FROM x JOIN c{i} c USING (pos) GROUP BY rn, cluster) GROUP BY rn
+)""")
+        if i < rounds:
+            out.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, c.pos, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.val)::BIGINT AS val
+  FROM c{i} c LEFT JOIN (SELECT cluster, pos, sum(val)::BIGINT AS s, count(*) AS n FROM a{i} JOIN x USING (rn) GROUP BY cluster, pos) m USING (cluster, pos)
+)""")
+    return ",\n".join(out)
+
+
+ORACLES["op12_laesa_clusters"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0
+), x AS MATERIALIZED (
+  SELECT rn, unnest(range(64)) AS pos, unnest(list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)::BIGINT)) AS val FROM v
+), c0 AS MATERIALIZED (
+  SELECT cluster, pos, val FROM x JOIN (SELECT rn, (row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR)) - 1)::INT AS cluster FROM v) USING (rn)
+  WHERE cluster < 8
+),
+{_rounds(10)}
+SELECT vec_id, cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a10 JOIN v USING (rn) JOIN (SELECT cluster, sha256(string_agg(val::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c10 GROUP BY cluster) USING (cluster)
+"""
+
+ORACLES["op13_web_archives"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest
+  FROM pages
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < 1000 OR page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN largest END AS refers_to
+FROM p
+"""
