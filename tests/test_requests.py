@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import codecs
 import datetime
 import json
 import random
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from scribemill.functions import answers as fa
 from scribemill.operators import answers, requests
-from scribemill.operators.anchored import last_starts, starts_from
+from scribemill.operators.anchored import (
+    BLOCK_CALLS, BLOCK_WINDOWS, FAN, NONE, after, block_map, cell_start, cell_widths, composed, cut_blocks, label_windows, last_starts, starts_from,
+)
 from scribemill.plans.serving import request_report
 
 T0 = datetime.datetime(2024, 1, 1, 10, 0, 30)
@@ -149,15 +152,15 @@ def test_encoding(spark):
     assert {(r.request_id, r.seq, r.line) for r in silent.where("request_id = 'silent'").collect()} == {("silent", 0, "data: [DONE]")}
 
 
-def read_like_a_browser(chunks):
+def read_like_a_browser(chunks, strip=None):
     tail, text = "", ""
     for chunk in chunks:
         *lines, tail = (tail + chunk).split("\n")
         for line in lines:
-            line = line.strip()
+            line = line.strip(strip)
             if not line.startswith("data:"):
                 continue
-            data = line[5:].strip()
+            data = line[5:].strip(strip)
             if data == "[DONE]":
                 break
             try:
@@ -219,3 +222,73 @@ def test_request_limits_are_arguments(spark):
     assert df.select(fa.invalid_reason(*columns, question_chars=10)).first()[0] == "question too long"
     assert df.select(fa.invalid_reason(*columns, tokens_limit=50)).first()[0] == "max_tokens out of range"
     assert df.select(fa.invalid_reason(*columns, temperature_limit=0.5)).first()[0] == "temperature out of range"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=60), st.integers(1, 40), st.lists(st.integers(1, 2500), max_size=6))
+def test_composed_maps_equal_a_plain_walk(gaps, width, cuts):
+    t = np.unique(np.cumsum(gaps))
+    blocks = [b for b in np.split(t, np.searchsorted(t, sorted(cuts))) if len(b)]
+    maps = [block_map(b, width) for b in blocks]
+    while len(maps) > 1:  # three at a time, level by level
+        maps = [composed(maps[i : i + 3], width) for i in range(0, len(maps), 3)]
+    for anchor in (NONE, int(t[0]) - 1, int(t[0]) - width // 2 - 1, int(t[0]) - 3 * width):
+        last = anchor
+        for x in t:
+            last = int(x) if x >= last + width else last
+        assert after(anchor, maps[0], width) == last
+    assert all(np.all(first[1:] > first[:-1]) and np.all(last[1:] != last[:-1]) for first, last in maps)
+
+
+@pytest.mark.parametrize("block_windows, block_calls", [(1, 50_000), (32, 3)])
+def test_hot_caller_in_cut_blocks(spark, block_windows, block_calls):
+    rng = random.Random(8)
+    times, t = [], 0
+    for _ in range(1500):
+        t += rng.choice([0, 0, 0, 1, 7, 30, 61, 90] if len(times) % 500 < 400 else [0, 0, 0, 0, 1])
+        times.append(t)
+    rows = [("hot", x * 1_000_000, i) for i, x in enumerate(times)] + [("rare", 10**12 * i, -i - 1) for i in range(3)]
+    calls = spark.createDataFrame(rows, "__k string, __t long, __id long").repartition(5)
+    got = {r["__id"]: r["__anchor"] for r in label_windows(calls, 60_000_000, block_windows, block_calls).collect()}
+    start, want = None, {}
+    for i, x in enumerate(times):
+        start = x if start is None or x >= start + 60 else start
+        want[i] = start * 1_000_000
+    assert got == want | {-i - 1: 10**12 * i for i in range(3)}
+
+
+def test_no_step_holds_more_than_the_parts_of_a_cell(spark):
+    """A million windows of one caller: neither a block nor a cell brings many rows together."""
+    span, width = 60_000_000 * 1_000_000, 60_000_000
+    calls = spark.range(1_000_000).select(F.lit("hot").alias("__k"), (F.col("id") * width).alias("__t"), F.col("id").alias("__id"))
+    dealt, widths = cut_blocks(calls, 0, width * BLOCK_WINDOWS, BLOCK_CALLS)
+    cells = cell_widths(span, widths)
+    for level in range(1, len(cells)):
+        cell, above = (cell_start(F.col("__t"), 0, cells[:n]) for n in (level + 1, level))
+        parts = dealt.groupBy("__k", above.alias("above")).agg(F.count_distinct(cell).alias("n")).agg(F.max("n")).first()[0]
+        assert parts <= FAN
+    assert dealt.groupBy("block").count().agg(F.max("count")).first()[0] <= BLOCK_WINDOWS
+
+
+def test_bytes_cut_inside_characters_give_the_same_tokens(spark):
+    """Against the decoder of the standard library, which replaces broken bytes like a browser does."""
+    rng = random.Random(11)
+    streams = {}
+    for n in range(60):
+        body = b"\xef\xbb\xbf" if n % 7 == 0 else b""
+        for k in range(rng.randrange(8)):
+            text = rng.choice(["é", "日本語", "🙂🙂", "a b", "", "plain"]) + str(k)
+            body += rng.choice([f"data: {json.dumps({'token': text}, ensure_ascii=False)}\n\n".encode(), b"data: [DONE]\n", b": \xff\xc3\n", b"data: {bad\n",
+                                b'data: {"token": "x\xe6\x97y\xf0\x9f\x99"}\n', b'data: {"token": "\xc3'])
+        cuts, pieces = sorted(rng.sample(range(len(body) + 1), min(len(body), rng.randrange(12)))), []
+        for lo, hi in zip([0, *cuts], [*cuts, len(body)]):
+            pieces.append(body[lo:hi])
+        streams[f"r{n}"] = pieces
+    rows = [(r, i, bytearray(c)) for r, chunks in streams.items() for i, c in enumerate(chunks)]
+    chunks = spark.createDataFrame(rows, "request_id string, chunk long, data binary").repartition(6)
+    want = {}
+    for r, pieces in streams.items():
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        want[r] = read_like_a_browser([decoder.decode(p) for p in pieces], strip=" \t\r\n\v\f\xa0  ﻿")
+    assert {r.request_id: r.text for r in answers.answer_texts(chunks).collect()} == want
+    assert any("�" in text for text in want.values())
