@@ -18,10 +18,10 @@ from scribemill.operators.pairs import (
     token_progress,
     token_totals,
 )
-from scribemill.operators.prefix import dense_index, dense_index_by
+from scribemill.operators.prefix import dense_index
 from scribemill.operators.trainset import BLOCK_TOKENS, count_whitespace_tokens, packed_slices, training_texts
 from scribemill.session import stage
-from scribemill.sources.readers import JSONL_GLOB, LINE_ORDER, PAIR_SCHEMA, list_files, read_jsonl_ordered
+from scribemill.sources.readers import JSONL_GLOB, PAIR_SCHEMA, list_files, read_jsonl_numbered, read_jsonl_ordered
 
 
 @dataclass(frozen=True)
@@ -55,23 +55,24 @@ def generate_pairs(
     )
 
 
+def _must_match(spark: SparkSession, path: str, glob: str | None) -> None:
+    """A folder without a matching file fails instead of giving no rows."""
+    if glob:
+        list_files(spark, path, glob)
+
+
 def load_training_set(spark: SparkSession, path: str, glob: str | None = JSONL_GLOB) -> tuple[DataFrame, int]:
     """The column ``text`` of a file or folder of pairs, and its row count."""
-    texts = training_texts(_pairs(spark, path, glob))
+    _must_match(spark, path, glob)
+    texts = training_texts(read_jsonl_ordered(spark, path, PAIR_SCHEMA, glob))
     return texts, texts.count()
 
 
-def _pairs(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    """Pairs with their place. A folder without a matching file fails instead of giving no rows."""
-    if glob:
-        list_files(spark, path, glob)
-    return read_jsonl_ordered(spark, path, PAIR_SCHEMA, glob)
-
-
 def ordered_training_set(spark: SparkSession, path: str, glob: str | None = JSONL_GLOB) -> DataFrame:
-    """The same texts with their 0-based position in file and line order."""
-    texts = _pairs(spark, path, glob).select(*LINE_ORDER, chat_text(F.col("instruction"), F.col("output")).alias("text"))
-    return dense_index_by(texts, LINE_ORDER).select("position", "text")
+    """The same texts with their 0-based position in file and line order. No text moves for its number."""
+    _must_match(spark, path, glob)
+    pairs = read_jsonl_numbered(spark, path, PAIR_SCHEMA, glob)
+    return pairs.select("position", chat_text(F.col("instruction"), F.col("output")).alias("text"))
 
 
 def pack_folder(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from scribemill.functions.text import py_strip
 from scribemill.operators.corpus import exact_sample
@@ -35,8 +36,14 @@ def _strict_records(lines: DataFrame, schema: str | StructType, *extra: str) ->
     record = F.when(one, F.get(element, F.lit(0))).otherwise(
         F.raise_error(F.concat(F.lit("malformed line: "), F.substring(line, 1, 200))).cast(f"struct<{ddl}>")
     )
-    stripped = lines.withColumn("__line", py_strip(F.col("value"))).where(F.col("__line") != "")
-    return stripped.select(record.alias("__r"), *extra).select("__r.*", *extra)
+    return _stripped(lines).select(record.alias("__r"), *extra).select("__r.*", *extra)
+
+
+def _stripped(lines: DataFrame) -> DataFrame:
+    """The lines that are not blank, without the white space around them, as ``__line``."""
+    if "__line" in lines.columns:
+        return lines
+    return lines.withColumn("__line", py_strip(F.col("value"))).where(F.col("__line") != "").drop("value")
 
 
 def _lines(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:
@@ -75,6 +82,27 @@ def read_jsonl_ordered(spark: SparkSession, path: str, schema: str | StructType,
     return _strict_records(lines, schema, *LINE_ORDER)
 
 
+def read_jsonl_numbered(
+    spark: SparkSession, path: str, schema: str | StructType, glob: str | None = JSONL_GLOB, name: str = "position"
+) -> DataFrame:
+    """The same with the 0-based ``name`` of each record, files by name, then lines in order.
+
+    A first pass counts the records of each split; the counts are added up, and a
+    record's position is that of its split plus its place in it. So lines stay
+    where they are read. What is broadcast is a row per file split, as many
+    as the scan itself lists on the driver.
+    """
+    lines = _lines(spark, path, glob).select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")
+    )
+    placed = _stripped(lines).withColumn("__row", F.monotonically_increasing_id())
+    splits = placed.groupBy("__file", "__block").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("__file", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__start"))
+    numbered = placed.join(F.broadcast(starts), ["__file", "__block"]).withColumn(name, F.col("__row") + F.col("__start"))
+    return _strict_records(numbered, schema, name)
+
+
 def list_files(spark: SparkSession, path: str, glob: str = JSONL_GLOB) -> DataFrame:
     """Column ``file`` of the files under ``path`` whose name fits ``glob``; contents are not read. A folder without one fails."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)

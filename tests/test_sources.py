@@ -148,6 +148,64 @@ def test_keyed_puts_replace_rows_and_version_the_table(spark, tmp_path):
     assert writers.read_records(spark, base).count() == 2
 
 
+def test_a_put_of_ten_keys_rewrites_their_buckets_only(spark, tmp_path):
+    base = str(tmp_path / "records")
+    rows = spark.range(200_000).select(F.concat(F.lit("job-"), F.col("id").cast("string")).alias("job_id"), F.lit("t").alias("timestamp"),
+                                       F.col("id").alias("loss"), F.col("id").alias("put_no"))
+    writers.put_records(rows, base, buckets=1024)
+    files = lambda: {p.relative_to(tmp_path): p.stat().st_size for p in (tmp_path / "records" / "data").rglob("*.parquet")}
+    first = files()
+    ten = spark.range(10).select(F.concat(F.lit("job-"), (F.col("id") * 19_997).cast("string")).alias("job_id"), F.lit("t").alias("timestamp"),
+                                 F.lit("new").alias("model_name"), F.lit(1).cast("long").alias("put_no"))
+    table = writers.put_records(ten, base)
+    new = files().keys() - first.keys()
+    assert len(new) <= 10 and sum(files()[f] for f in new) < 0.01 * sum(first.values()) + 10 * 2000
+    assert table.count() == 200_000 and table.where("model_name = 'new' and loss is null").count() == 10
+    found = writers.lookup_records(spark, base, ten.select("job_id", "timestamp"))
+    assert found.count() == 10 and len(found.inputFiles()) <= 10
+    # The version before is untouched until it is removed.
+    writers.remove_old_versions(spark, base, keep=1)
+    assert writers.read_records(spark, base).count() == 200_000 and not (tmp_path / "records" / "version=1").exists()
+
+
+def test_puts_of_nothing_null_keys_and_other_key_types(spark, tmp_path):
+    base = str(tmp_path / "records")
+    schema = "job_id string, timestamp long, status string, put_no long"
+    assert writers.put_records(spark.createDataFrame([], schema), base, buckets=4).count() == 0
+    writers.put_records(spark.createDataFrame([(None, 1, "a", 0), (None, 1, "b", 1), ("j", None, "c", 2)], schema), base)
+    other = spark.createDataFrame([("j", "7", "d", 0), (None, "1", "e", 1)], "job_id string, timestamp string, status string, put_no long")
+    table = writers.put_records(other, base)
+    assert {tuple(r) for r in table.collect()} == {(None, 1, "e"), ("j", None, "c"), ("j", 7, "d")}
+    assert writers.put_records(spark.createDataFrame([], schema), base).count() == 3
+
+
+def test_a_put_that_fails_leaves_the_table_as_it_was(spark, tmp_path):
+    base = str(tmp_path / "records")
+    puts = spark.createDataFrame([("j", "t", "a", 0)], "job_id string, timestamp string, status string, put_no long")
+    writers.put_records(puts, base)
+    broken = puts.withColumn("status", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        writers.put_records(broken, base)
+    (tmp_path / "records" / "data" / "half").mkdir()
+    assert [tuple(r) for r in writers.read_records(spark, base).collect()] == [("j", "t", "a")]
+
+
+def test_line_numbers_move_no_text(spark, tmp_path):
+    for name, lines in (("b.jsonl", 300), ("a.jsonl", 200), ("empty.jsonl", 0), ("c.jsonl", 100)):
+        (tmp_path / name).write_text("".join(("\n  \n" if i % 7 == 0 else "") + json.dumps({"title": f"{name}{i:04d}"}) + "\n" for i in range(lines)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        df = readers.read_jsonl_numbered(spark, str(tmp_path), "title string")
+        rows = df.orderBy("position").collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.position, r.title) for r in rows] == list(enumerate(f"{n}.jsonl{i:04d}" for n, k in (("a", 200), ("b", 300), ("c", 100)) for i in range(k)))
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("__line" in line or "title" in line for line in moved)
+
+
 def test_pages_keep_failed_captures(spark, tmp_path):
     spark.createDataFrame([(1, "u", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
     assert readers.read_pages(spark, str(tmp_path / "p")).first().html is None
