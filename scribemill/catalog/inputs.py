@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scribemill.functions import answers as fa
+from scribemill.session import STATE_STORE, STATE_STORE_KEY, new_path
+
 TITLE_CHARS = 40
 PAGE_ENTRIES = 100
 SITE = "https://site.example"
@@ -14,12 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a file stream."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-
-
 def title(text: str = "text") -> Column:
     return F.substring(text, 1, TITLE_CHARS)
 
@@ -165,13 +164,66 @@ def line_chunks(lines: DataFrame) -> DataFrame:
 
 def run_stream(out: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there now into a table in the shared folder and return that table."""
-    from scribemill.session import new_path
+    path, checkpoint = new_path(out.sparkSession, name), new_path(out.sparkSession, f"{name}-state")
+    _run_once(out, path, checkpoint)
+    return out.sparkSession.read.schema(out.schema).parquet(path)
+
+
+# Settings of a run: the store that timers need, and no triggers without data, as all rows come with data.
+STREAM_SETTINGS = {STATE_STORE_KEY: STATE_STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
+def _run_once(out: DataFrame, path: str, checkpoint: str) -> None:
+    conf = out.sparkSession.conf
+    before = {key: conf.get(key, None) for key in STREAM_SETTINGS}
+    for key, value in STREAM_SETTINGS.items():
+        conf.set(key, value)
+    try:
+        query = (
+            out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+
+
+def run_stream_in_parts(rows: DataFrame, part: Column, parts: int, build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Let the rows arrive as files, part by part, in as many runs of one stream that takes its state on from run to run."""
+    spark = rows.sparkSession
+    source, path, checkpoint = (new_path(spark, f"{name}{kind}") for kind in ("-in", "", "-state"))
+    for number in range(parts):
+        rows.where(part == number).write.mode("append").parquet(source)
+        out = build(spark.readStream.schema(rows.schema).parquet(source))
+        _run_once(out, path, checkpoint)
+    return spark.read.schema(out.schema).parquet(path)
+
 
-    spark = out.sparkSession
-    path, checkpoint = new_path(spark, name), new_path(spark, f"{name}-state")
-    query = (
-        out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+def time_part(df: DataFrame, ts: str, parts: int) -> Column:
+    """Number of the part of equal rows, about, that a time falls into; no time comes first."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(micros, [i / parts for i in range(1, parts)])).first()[0] or []
+    return F.coalesce(sum([F.when(micros > cut, 1).otherwise(0) for cut in cuts], F.lit(0)), F.lit(0))
+
+
+def noisy_answer_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as network chunks of bytes: cut in the middle, also inside characters, among other lines.
+
+    Broken and foreign lines stand before some tokens, an end mark with a lost
+    token behind others, and every third answer ends in the middle of a line.
+    """
+    turn, done = F.col("turn"), fa.done_line()
+    line = F.concat(F.lit('data: {"token": '), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2), F.lit("}\n\n"))
+    said = F.when((F.col("role") != "system") & (F.length("text") > 0), line).otherwise(F.lit("event: other\n"))
+    before = F.when(turn % 3 == 0, ": ping\r\n").when(turn % 3 == 1, 'data: {"token": \n').otherwise("")
+    behind = F.when(turn % 4 == 2, F.concat(done, F.lit('\ndata: {"token": "lost"}\n'))).otherwise("")
+    turns = table(spark, sf_dir, "conversations")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("turn")).where("conv_id % 3 = 0")
+    tails = last.select("conv_id", (F.col("turn") + 1).alias("turn"), F.encode(F.lit('data: {"token": "néver'), "UTF-8").alias("data"))
+    data = turns.select("conv_id", "turn", F.encode(F.concat(before, said, behind), "UTF-8").alias("data")).unionByName(tails)
+    middle = F.call_function("div", F.octet_length("data"), F.lit(2)).cast("int")
+    halves = F.array(F.substring("data", F.lit(1), middle), F.substring("data", middle + 1, F.octet_length("data")))
+    return data.select("conv_id", "turn", F.posexplode(halves).alias("half", "data")).select(
+        F.col("conv_id").alias("request_id"), (F.col("turn") * 2 + F.col("half")).cast("long").alias("chunk"), "data"
     )
-    query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(path)

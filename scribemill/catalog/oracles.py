@@ -263,6 +263,29 @@ SELECT 'bedrock-import-m' || user_id AS job_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ
     "first_terminal": f"""
 WITH {FIRST_END} SELECT c.job_id, coalesce(status, 'Running') AS status, ended_at, polls, {ERROR}
 FROM counted c LEFT JOIN ends n ON n.job_id = c.job_id""",
+    "first_import_end": """
+WITH p AS (
+  SELECT user_id AS job_id, ts, CASE event_type WHEN 'purchase' THEN 'Completed' WHEN 'error' THEN 'Failed' ELSE 'InProgress' END AS status,
+    CASE WHEN value > 20 THEN props END AS reason, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT job_id, min(n) AS stop FROM p WHERE status <> 'InProgress' GROUP BY job_id)
+SELECT job_id, coalesce(max(status) FILTER (n = stop), 'Running') AS status, max(ts) FILTER (n = stop) AS ended_at,
+  count(*) FILTER (stop IS NULL OR n <= stop) AS polls, max(coalesce(reason, 'Unknown')) FILTER (n = stop AND status = 'Failed') AS error
+FROM p LEFT JOIN f USING (job_id) GROUP BY job_id""",
+    "job_registry": """
+WITH j AS (
+  SELECT *, date_trunc('day', ts) AS day, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
+    row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY event_type <> 'view' DESC, event_id DESC) AS r FROM events),
+m AS (
+  SELECT *, date_trunc('day', ts) AS day, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY event_id DESC) AS r
+  FROM events WHERE event_type = 'purchase')
+SELECT 'job-' || user_id AS job_id, strftime(day, '%Y-%m-%dT%H:%M:%SZ') AS "timestamp",
+  CASE event_type WHEN 'purchase' THEN 'Completed' WHEN 'error' THEN 'Failed' ELSE 'Unknown' END AS status,
+  CASE WHEN event_type = 'purchase' THEN props END AS model_artifact, NULL AS bedrock_model_arn, NULL AS model_name,
+  CAST(CASE WHEN event_type = 'purchase' THEN k + 1 ELSE value END AS VARCHAR) AS train_loss
+FROM j WHERE r = 1
+UNION ALL
+SELECT 'bedrock-import-m' || user_id, strftime(day, '%Y-%m-%dT%H:%M:%SZ'), 'Completed', NULL, props, 'm' || user_id, NULL
+FROM m WHERE r = 1""",
     "latest_completed": """
 SELECT user_id AS model_name, arg_max(event_id || '-' || props, ts) AS model_artifact, max(ts) AS "timestamp"
 FROM events WHERE event_type = 'purchase' GROUP BY user_id""",
@@ -287,4 +310,9 @@ FROM conversations GROUP BY conv_id""",
     "first_terminal_stream": f"""
 WITH {FIRST_END} SELECT n.job_id, status, ended_at, polls, {ERROR} FROM ends n JOIN counted c ON n.job_id = c.job_id""",
     "answer_tokens_stream": ANSWER_TOKENS,
+    "answer_bytes": """
+SELECT conv_id AS request_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role <> 'system'), '') AS text
+FROM conversations GROUP BY conv_id""",
+    "answer_bytes_stream": """
+SELECT conv_id AS request_id, text AS token FROM conversations WHERE role <> 'system' AND length(text) > 0""",
 }

@@ -13,7 +13,7 @@ from scribemill.functions import text as ft
 from scribemill.operators import answers, corpus, extract, jobs, pairs, requests, trainset
 from scribemill.operators.prefix import dense_index, dense_index_by
 from scribemill.plans import corpus as corpus_plan
-from scribemill.plans import training
+from scribemill.plans import serving, training
 from scribemill.session import new_path
 from scribemill.sources import readers, writers
 from scribemill.streaming import stateful
@@ -198,8 +198,8 @@ def jsonl_ordered(spark, sf):
     path = new_path(spark, "jsonl")
     docs = i.table(spark, sf, "documents").select("doc_id", "lang", "text").orderBy("doc_id")
     writers.write_jsonl(docs, path)
-    lines = readers.read_jsonl_ordered(spark, path, "doc_id long, lang string", "*.json")
-    return dense_index_by(lines, readers.LINE_ORDER).select("doc_id", "lang", "position")
+    lines = readers.read_jsonl_numbered(spark, path, "doc_id long, lang string", "*.json")
+    return lines.select("doc_id", "lang", "position")
 
 
 @query
@@ -361,12 +361,11 @@ def metric_columns(spark, sf):
     return jobs.metric_columns(events, [f"train_{t}" for t in EVENT_TYPES])
 
 
-@query
-def job_records(spark, sf):
+def _descriptions(events, *extra):
     metric = lambda name, value: F.struct(name.alias("MetricName"), value.cast("double").alias("Value"))
     bought = F.col("event_type") == "purchase"
     k = F.get_json_object("props", "$.k").cast("double")
-    descriptions = i.table(spark, sf, "events").select(
+    return events.select(
         F.concat(F.lit("job-"), F.col("event_id").cast("string")).alias("job_id"),
         F.col("ts").alias("written_at"),
         F.when(bought, "Completed").when(F.col("event_type") == "error", "Failed").alias("TrainingJobStatus"),
@@ -378,8 +377,13 @@ def job_records(spark, sf):
             metric(F.lit(""), F.lit(1)),
             metric(F.lit("status"), F.lit(2)),
         ).alias("FinalMetricDataList"),
+        *extra,
     )
-    return jobs.job_records(descriptions).select(
+
+
+@query
+def job_records(spark, sf):
+    return jobs.job_records(_descriptions(i.table(spark, sf, "events"))).select(
         "job_id", "timestamp", "status", "model_artifact",
         F.col("metrics")["train_loss"].alias("train_loss"),
         F.col("metrics")["eval_k"].alias("eval_k"),
@@ -416,6 +420,24 @@ def registry_records(spark, sf):
     return jobs.registry_records(models)
 
 
+@query
+def job_registry(spark, sf):
+    """Job records, imported models and later job records put into one table."""
+    events, base = i.table(spark, sf, "events"), new_path(spark, "registry")
+    day, number = F.date_trunc("day", "ts").alias("written_at"), F.col("event_id").alias("put_no")
+    described = _descriptions(events, "event_type", "user_id", day.alias("day"), number)
+    described = described.withColumns({"job_id": F.concat(F.lit("job-"), F.col("user_id").cast("string")), "written_at": F.col("day")})
+    models = events.where("event_type = 'purchase'").select(
+        F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model_name"), F.col("props").alias("model_arn"), day, number
+    )
+    serving.record_jobs(described.where("event_type = 'view'"), base)
+    serving.record_models(models, base)
+    table = serving.record_jobs(described.where("event_type <> 'view'"), base)
+    return table.select(
+        "job_id", "timestamp", "status", "model_artifact", "bedrock_model_arn", "model_name", F.col("metrics")["train_loss"].alias("train_loss")
+    )
+
+
 def _polls(events):
     return events.select(
         F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("poll_id"), F.col("event_type").alias("status"),
@@ -428,6 +450,13 @@ def first_terminal(spark, sf):
     return jobs.first_terminal(_polls(i.table(spark, sf, "events")), ENDS, "error")
 
 
+@query
+def first_import_end(spark, sf):
+    status = F.when(F.col("event_type") == "purchase", "Completed").when(F.col("event_type") == "error", "Failed").otherwise("InProgress")
+    events = i.table(spark, sf, "events")
+    return jobs.first_terminal(_polls(events.withColumn("event_type", status)), jobs.IMPORT_TERMINAL)
+
+
 @query
 def latest_completed(spark, sf):
     records = i.table(spark, sf, "events").select(
@@ -501,21 +530,39 @@ def answer_texts(spark, sf):
 # Streams
 
 
+# Runs of one stream, so that state goes on from run to run.
+PARTS = 2
+
+
 @query
 def rate_limit_stream(spark, sf):
-    calls = _calls(i.stream(spark, sf, "events"))
-    return i.run_stream(stateful.rate_limit_stream(calls, 2, DAY), "rate-limit")
+    calls = _calls(i.table(spark, sf, "events"))
+    build = lambda stream: stateful.rate_limit_stream(stream, 2, DAY)
+    return i.run_stream_in_parts(calls, i.time_part(calls, "ts", PARTS), PARTS, build, "rate-limit")
 
 
 @query
 def first_terminal_stream(spark, sf):
-    polls = _polls(i.stream(spark, sf, "events"))
-    return i.run_stream(stateful.first_terminal_stream(polls, ENDS, "error"), "first-terminal")
+    polls = _polls(i.table(spark, sf, "events"))
+    build = lambda stream: stateful.first_terminal_stream(stream, ENDS, "error", idle_seconds=3650 * DAY)
+    return i.run_stream_in_parts(polls, i.time_part(polls, "ts", PARTS), PARTS, build, "first-terminal")
 
 
 @query
 def answer_tokens_stream(spark, sf):
-    path = new_path(spark, "chunks")
-    _chunks(spark, sf).write.parquet(path)
-    chunks = spark.readStream.schema("request_id long, chunk long, data string").parquet(path)
-    return i.run_stream(stateful.answer_tokens_stream(chunks), "answers").select("request_id", "chunk", "token")
+    chunks = _chunks(spark, sf)
+    part = F.least(F.call_function("div", F.col("chunk"), F.lit(3)), F.lit(PARTS - 1))
+    tokens = i.run_stream_in_parts(chunks, part, PARTS, stateful.answer_tokens_stream, "answers")
+    return tokens.select("request_id", "chunk", "token")
+
+
+@query
+def answer_bytes(spark, sf):
+    return answers.answer_texts(i.noisy_answer_bytes(spark, sf))
+
+
+@query
+def answer_bytes_stream(spark, sf):
+    chunks = i.noisy_answer_bytes(spark, sf)
+    part = F.least(F.call_function("div", F.col("chunk"), F.lit(3)), F.lit(PARTS - 1))
+    return i.run_stream_in_parts(chunks, part, PARTS, stateful.answer_tokens_stream, "answer-bytes").select("request_id", "token")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 DONE = "[DONE]"
 DATA_PREFIX = "data:"
+# The encoding in which every byte is one character.
+BYTE_CHARS = "ISO-8859-1"
 # Request limits and defaults.
 MAX_QUESTION_CHARS = 4000
 MAX_TOKENS_LIMIT = 4096
@@ -33,6 +35,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def utf8_text(data: Column) -> Column:
+    """Bytes as text; what is not UTF-8 becomes U+FFFD, one for each longest broken piece, as a browser's TextDecoder does."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def encode_line(text: Column) -> Column:
     """One answer piece as a stream line."""
     return F.concat(F.lit("data: "), F.to_json(F.struct(text.alias("token"))))

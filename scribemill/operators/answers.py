@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
-from scribemill.functions.answers import DONE, decode_line, done_line, encode_line
+from scribemill.functions.answers import BYTE_CHARS, DONE, decode_line, done_line, encode_line, utf8_text
 from scribemill.operators.prefix import running_sums
 
 # Line numbers per partial text (2**12); partial texts of one answer are built in parallel.
@@ -30,15 +31,23 @@ def encode_answers(events: DataFrame, requests: DataFrame | None = None, request
 def answer_tokens(chunks: DataFrame, request: str = "request_id", chunk: str = "chunk", data: str = "data", key_bits: int = 45) -> DataFrame:
     """Tokens of every request: (request, chunk in which the line ends, line_no, token).
 
-    Chunks are joined and cut at newlines; an unfinished last line is dropped.
+    ``data`` is text, or bytes cut anywhere, also inside a character. Chunks are
+    joined and cut at newlines; an unfinished last line is dropped.
     An end mark drops the later tokens of its own chunk, not those of later chunks.
 
+    No UTF-8 sequence goes on after a newline, broken or not, so bytes can be cut there
+    before they are decoded. Until its line is whole, a byte is one Latin-1 character; then the line is
+    decoded on its own. That gives what decoding the whole answer would, and
+    chunks of one answer need no decoder state from the chunks before them.
+
     A line number is the count of newlines before it, so pieces of a line are
     brought together by (request, line) and a long answer is decoded in parallel.
     """
+    as_bytes = chunks.schema[data].dataType == BinaryType()
+    rows = chunks.select(request, chunk, (F.decode(data, BYTE_CHARS) if as_bytes else F.col(data)).alias(data))
     newlines = F.size(F.split(data, "\n", -1)) - 1
     numbered = running_sums(
-        chunks.select(request, chunk, data),
+        rows,
         chunk,
         {"__before": newlines.cast("long")},
         partition=[request],
@@ -55,9 +64,9 @@ def answer_tokens(chunks: DataFrame, request: str = "request_id", chunk: str = "
         F.max(chunk).alias(chunk),
         F.array_sort(F.collect_list(F.struct(F.col(chunk).alias("c"), F.col("__piece").alias("p")))).alias("__pieces"),
     )
-    decoded = lines.select(
-        request, chunk, "line_no", decode_line(F.array_join(F.col("__pieces.p"), "")).alias("token")
-    ).where(F.col("token").isNotNull())
+    line = F.array_join(F.col("__pieces.p"), "")
+    line = utf8_text(F.encode(line, BYTE_CHARS)) if as_bytes else line
+    decoded = lines.select(request, chunk, "line_no", decode_line(line).alias("token")).where(F.col("token").isNotNull())
     same_chunk = Window.partitionBy(request, chunk)
     end = F.min(F.when(F.col("token") == DONE, F.col("line_no"))).over(same_chunk)
     return (

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Paths given out by this process and not yet removed.
 _given: list[str] = []
 
@@ -23,6 +25,8 @@ def build_session(app_name: str = "scribemill", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Documents can be long, so Python workers get small batches.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        # Timers and times to live of stream state need this store.
+        STATE_STORE_KEY: STATE_STORE,
         **conf,
     }
     for key, value in settings.items():
