@@ -111,7 +111,7 @@ class PackageWriter:
 
     def close(self) -> int:
         self.member.close()
-        with self.package.open(INDEX, "w") as member:
+        with self.package.open(INDEX, "w", force_zip64=True) as member:
             for line in sorted(self.lines):
                 member.write(line.encode())
         self.package.close()
@@ -194,10 +194,12 @@ def directory_place(read: Callable[[int, int], bytes], size: int) -> tuple[int,
         raise ValueError("no end of a central directory")
     entries, span, start = struct.unpack_from("<HII", tail, at + 10)
     end = size - length + at
-    if entries == NO_16 or NO_32 in (span, start):
-        locator = read(end - 20, 20) if end >= 20 else b""
-        if not locator.startswith(LOCATOR_64):
+    locator = read(end - 20, 20) if end >= 20 else b""
+    if not locator.startswith(LOCATOR_64):
+        if entries == NO_16 or NO_32 in (span, start):
             raise ValueError("a ZIP64 directory without its locator")
+    else:
+        # Some writers add the 64-bit record without need; the directory ends before it either way.
         stated = struct.unpack_from("<Q", locator, 8)[0]
         # Bytes before the package shift it; without an extension the record ends right before its locator.
         for end_64 in (stated, end - 20 - 56):

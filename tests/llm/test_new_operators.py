@@ -1,0 +1,345 @@
+"""Spelling variants, clustering and web archives against brute force and on awkward input."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import math
+import re
+import zipfile
+from collections import Counter, defaultdict
+from zlib import crc32
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from scribemill.llm import centroids, common, spelling, web_archives
+from scribemill.session import new_path
+
+
+# Spelling variants
+
+
+def brute_words(rows, every=97, min_chars=5, min_count=3):
+    counts = Counter()
+    for doc_id, text, *_ in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % every == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= min_chars and n >= min_count}
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_groups(words):
+    near = {w: [v for v in words if one_edit(w, v)] for w in words}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * words[w] else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return {w: (form[w], root(w), words[w], len(near[w]), words.get(form[w])) for w in words}
+
+
+def spelled(df):
+    rows = df.collect()
+    assert len({r.word for r in rows}) == len(rows)
+    return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
+
+
+VARIANTS = "colour Colour colour color color Couleur couleur couleur cöulour cöulour cöulour naïveté naiveté NAÏVETÉ naiveté naiveté naïveté colours "
+
+
+@pytest.mark.parametrize("symbols", [2, 16])
+def test_spelling_awkward(spark, awkward, awkward_rows, nothing, symbols):
+    extra = [(100 + i, VARIANTS * (i % 4) + ("colourss " if i % 4 == 0 else "") + "aaaaaa aaaaa aaaaaaa baaaaa ÷×÷×÷ ÿÿÿÿÿ " * 2, "en", "a") for i in range(12)]
+    schema = awkward.schema
+    table = awkward.unionByName(spark.createDataFrame([(i, t, l, s, None, *["x"] * 11) for i, t, l, s in extra], schema))
+    want = brute_groups(brute_words([*awkward_rows, *extra]))
+    assert spelled(spelling.spelling_groups(table, symbols=symbols)) == want
+    assert want["colourss"][:2] == ("colours", "colour")
+    assert spelling.spelling_groups(nothing).count() == 0
+    assert spelling.spelling_groups(awkward.where("text is null")).count() == 0
+
+
+def test_spelling_dropped_characters_and_string_ids(spark):
+    texts = [(f"d{i}", " ".join(["river", "mountain", "valley"] * 40)) for i in range(60)]
+    df = spark.createDataFrame(texts, "name string, body string").repartition(4)
+    want = brute_groups(brute_words(texts, every=3))
+    assert len(want) > 6
+    assert spelled(spelling.spelling_groups(df, "name", "body", drop_every=3)) == want
+
+
+def test_spelling_hands_counts_on_in_parts(spark, monkeypatch):
+    texts = [(i, f"{VARIANTS} word{'abcdefgh'[i % 8] * 3}") for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    whole = spelled(spelling.spelling_groups(df))
+    monkeypatch.setattr(spelling, "HELD_WORDS", 2)
+    assert spelled(spelling.spelling_groups(df)) == whole == brute_groups(brute_words(texts))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcdé", min_size=1, max_size=6), min_size=2, max_size=25, unique=True), st.integers(2, 5))
+def test_neighbour_keys_join_every_near_pair(words, symbols):
+    """Each pair one edit apart is generated by exactly one side, or shares its reduced word."""
+    keys, near = {}, defaultdict(set)
+    for places, values in spelling.by_length(words, symbols):
+        for at, key in zip(places, spelling.prefix_keys(values)[1][:, -1].tolist()):
+            keys[words[at]] = key
+        for rows, found in spelling.neighbour_keys(values, symbols):
+            for row, key in zip(rows.tolist(), found.tolist()):
+                assert key not in near[words[places[row]]]
+                near[words[places[row]]].add(key)
+    for a in words:
+        for b in words:
+            if one_edit(a, b):
+                sides = (keys[b] in near[a]) + (keys[a] in near[b])
+                assert sides == (2 if keys[a] == keys[b] else 1)
+
+
+def test_spelling_long_word(spark):
+    word = "ab" * 4_000
+    rows = [(i, f"{word} {word[:-1]}c") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spelling.spelling_groups(df, drop_every=None).collect()
+    assert sorted((len(r.word), r.n, r.n_near) for r in got) == [(8_000, 3, 1), (8_000, 3, 1)]
+
+
+# Clustering
+
+
+def brute_clusters(rows, k=8, rounds=10, dims=64):
+    kept = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (hashlib.sha256(f"3:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
+    centres = [v for _, v in order[:k]]
+
+    def assign():
+        return [min((sum((a - b) ** 2 for a, b in zip(v, c)), at) for at, c in enumerate(centres)) for _, v in kept]
+
+    for _ in range(rounds):
+        found = assign()
+        for at in range(len(centres)):
+            own = [v for (_, v), (_, c) in zip(kept, found) if c == at]
+            if own:
+                centres[at] = [sum(column) // len(own) for column in zip(*own)]
+    found = assign()
+    inertia = Counter()
+    for d, c in found:
+        inertia[c] += d
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres]
+    return Counter((i, c, d, inertia[c], sum(inertia.values()), digest[c]) for (i, _), (d, c) in zip(kept, found))
+
+
+def clustered(df, **options):
+    rows = centroids.cluster_vectors(df, **options).collect()
+    return Counter((r.vec_id, r.cluster, r.distance, r.cluster_inertia, r.inertia, r.centroid_sha256) for r in rows)
+
+
+VECTORS = "vec_id long, embedding array<float>, cluster string, distance string, x string, id string"
+
+
+def vector_table(spark, rows):
+    return spark.createDataFrame([(i, v, "c", "d", "x", "i") for i, v in rows], VECTORS).repartition(3)
+
+
+def random_vectors(n, seed, groups=5):
+    rng = np.random.default_rng(seed)
+    heart = rng.normal(0, 1, (groups, 64))
+    return [(i, [float(np.float32(x)) for x in heart[i % groups] + rng.normal(0, 0.3, 64)]) for i in range(n)]
+
+
+def test_clusters_awkward(spark):
+    rows = random_vectors(120, 1)
+    same = [0.25] * 64
+    rows += [(500 + i, same) for i in range(40)] + [(7, same), (7, same), (None, same), (None, rows[0][1])]
+    rows += [(900, None), (901, []), (902, [1.0] * 63), (903, [1.0] * 65), (904, [None] + same[1:]), (905, [float("nan")] + same[1:]),
+             (906, [float("inf")] + same[1:]), (907, [-0.0] * 64), (908, [-0.0001] * 64)]
+    assert clustered(vector_table(spark, rows)) == brute_clusters(rows)
+
+
+def test_clusters_few_or_none(spark):
+    few = random_vectors(3, 2)
+    assert clustered(vector_table(spark, few)) == brute_clusters(few)
+    assert centroids.cluster_vectors(vector_table(spark, [])).columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    assert not clustered(vector_table(spark, [])) and not clustered(vector_table(spark, [(1, None)]))
+    with pytest.raises(Exception, match="too large"):
+        clustered(vector_table(spark, [(1, [1e20] * 64)]))
+
+
+def test_bounds_leave_out_no_winner_and_save_distances():
+    rows = np.array([[math.floor(1024 * x) for x in v] for _, v in random_vectors(2000, 3, 8)], dtype=np.int64)
+    pivots, centres = rows[:16], np.concatenate([rows[:7], rows[3:4]])
+    table = centroids.pivot_distances(rows, pivots)
+    cluster, distance, computed = centroids.nearest(rows, table, centres, centroids.pivot_distances(centres, pivots))
+    every = ((rows[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    assert (cluster == every.argmin(axis=1)).all() and (distance == every.min(axis=1)).all()
+    assert 3 not in cluster or 7 not in cluster  # equal centroids: the smaller number
+    assert computed < 0.6 * rows.shape[0] * len(centres)
+
+
+# Web archives
+
+
+PAGES = "page_id long, url string, html string, payload string, digest string, n string, number string, records string, path string"
+
+
+def page_table(spark, rows):
+    return spark.createDataFrame([(*r, *["x"] * 6) for r in rows], PAGES).repartition(4)
+
+
+def brute_pages(rows, least=1000):
+    groups = defaultdict(list)
+    for i, (page, url, html) in enumerate(rows):
+        body = (html or "").encode()
+        groups[body if len(body) >= least else (i, body)].append((page, url, i))
+    out = []
+    for body, members in groups.items():
+        body = body if isinstance(body, bytes) else body[1]
+        first = max(members, key=lambda m: (m[0] is not None, m[0] or 0, m[1] is not None, m[1] or ""))
+        facts = len(body), hashlib.sha1(body).hexdigest()
+        out += [(p, *facts, "response" if i == first[2] else "revisit", None if i == first[2] else first[0]) for p, _, i in members]
+    return Counter(out)
+
+
+LONG = "<p>größe 日本 🙂</p>\r\n\r\nWARC/1.1\r\n" * 60
+
+
+def awkward_pages():
+    rows = [(i, f"http://a.example/{i}", LONG) for i in range(60)]
+    rows += [(100, None, None), (101, "http://b.example/ü?q=a b\r\nX: y", ""), (102, "", "x" * 999), (103, "u", "x" * 999), (104, "u", "x" * 1000),
+             (105, "u", "x" * 1000), (None, "u", "x" * 1000), (None, "v", "y" * 2000), (106, "u", "z" * 300_000), (-5, "u", "é" * 500), (-6, "u", "é" * 500),
+             (107, "http://User@HOST.example:80/p?x=1#f", "short"), (108, "u", "\0" * 1500), (2**62, "u", "\r\n" * 700)]
+    return rows
+
+
+def archived(df, folder, **options):
+    return Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in web_archives.archive_pages(df, folder, **options).collect())
+
+
+def test_archives_awkward(spark, monkeypatch):
+    rows = awkward_pages()
+    df = page_table(spark, rows)
+    assert archived(df, new_path(spark, "w")) == brute_pages(rows)
+    assert not archived(page_table(spark, []), new_path(spark, "w"))
+    # Everything hot, everything cold, many splits and blocks.
+    monkeypatch.setattr(web_archives, "INDEX_BYTES", 100)
+    monkeypatch.setattr(web_archives, "BLOCK_BYTES", 700)
+    for part in (1, 10**9):
+        monkeypatch.setattr(common, "HOT_PART", part)
+        assert archived(df, new_path(spark, "w")) == brute_pages(rows)
+
+
+def test_repeated_rows_have_one_response(spark):
+    rows = [(1, "u", "a" * 1200)] * 30 + [(2, "u", "b" * 1200)] * 2 + [(3, "u", "c")] * 4
+    got = archived(page_table(spark, rows), new_path(spark, "w"))
+    assert {k[0]: [0, 0] for k in got} == {1: [0, 0], 2: [0, 0], 3: [0, 0]}
+    assert Counter({(k[0], k[3], k[4]): n for k, n in got.items()}) == Counter(
+        {(1, "response", None): 1, (1, "revisit", 1): 29, (2, "response", None): 1, (2, "revisit", 2): 1, (3, "response", None): 4}
+    )
+
+
+def test_payloads_come_back_and_packages_are_standard(spark):
+    rows = awkward_pages()
+    folder = new_path(spark, "w")
+    manifest = web_archives.write_packages(page_table(spark, rows), folder, package_bytes=2000)
+    made = manifest.collect()
+    assert len(made) > 4 and sum(m.records for m in made) == len(rows)
+    for m in made:
+        with zipfile.ZipFile(m.path) as z:
+            assert z.testzip() is None and {i.compress_type for i in z.infolist()} == {zipfile.ZIP_STORED}
+            lines = z.read(web_archives.INDEX).decode().splitlines()
+            assert lines == sorted(lines) and len(lines) == m.records
+    back = web_archives.read_packages(manifest).where("record_type = 'response'").collect()
+    want = Counter(row[0] for row, n in zip(brute_pages(rows), brute_pages(rows).values()) for _ in range(n) if row[3] == "response")
+    assert Counter(None if r.page_id is None else int(r.page_id) for r in back) == want
+    texts = Counter((None if p is None else str(p), (h or "").encode()) for p, _, h in rows)
+    assert all((r.page_id, bytes(r.payload)) in texts for r in back)
+
+
+def package(spark, tmp_path, name, monkeypatch=None, before=b"", comment=b""):
+    """A package of three records made by the writer, with bytes before it and a comment behind."""
+    data = io.BytesIO()
+    writer = web_archives.PackageWriter(data)
+    for i in range(3):
+        body = f"payload {i}".encode()
+        sha1 = hashlib.sha1(body).digest()
+        writer.add(web_archives.warc_record(i, str(i), "http://x.example/", len(body), sha1, body, None), "http://x.example/", sha1)
+    writer.package.comment = comment
+    writer.close()
+    path = tmp_path / name
+    path.write_bytes(before + data.getvalue())
+    return spark.createDataFrame([(str(path),)], "path string")
+
+
+def payloads(packages):
+    return sorted((r.page_id, bytes(r.payload)) for r in web_archives.read_packages(packages).collect())
+
+
+def test_directories(spark, tmp_path, monkeypatch):
+    want = [(str(i), f"payload {i}".encode()) for i in range(3)]
+    assert payloads(package(spark, tmp_path, "plain.wacz")) == want
+    mark = web_archives.END + b"\0" * 30
+    assert payloads(package(spark, tmp_path, "shifted.wacz", before=b"#!/bin/sh\n" * 50, comment=b"c" * 40 + mark)) == want
+    # The library writes 64-bit numbers for whatever goes over its limits.
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 10)
+    monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
+    for name, before in (("64.wacz", b""), ("64shifted.wacz", b"x" * 77)):
+        big = package(spark, tmp_path, name, before=before)
+        assert web_archives.END_64 in (tmp_path / name).read_bytes()
+        assert payloads(big) == want
+
+
+def test_broken_packages(spark, tmp_path):
+    for name, data, message in (("none.wacz", b"nothing here", "no end"), ("empty.wacz", b"", "no end")):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(Exception, match=message):
+            payloads(spark.createDataFrame([(str(tmp_path / name),)], "path string"))
+    with zipfile.ZipFile(tmp_path / "deflated.wacz", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(web_archives.ARCHIVE, b"x" * 100)
+    with pytest.raises(Exception, match="only stored members"):
+        payloads(spark.createDataFrame([(str(tmp_path / "deflated.wacz"),)], "path string"))
+    with zipfile.ZipFile(tmp_path / "other.wacz", "w") as z:
+        z.writestr("pages/pages.jsonl", b"{}")
+    assert payloads(spark.createDataFrame([(str(tmp_path / "other.wacz"),)], "path string")) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=9).map(lambda b: b.replace(b"\n", b"x")), max_size=12), st.booleans(), st.integers(1, 20), st.integers(1, 12))
+def test_splits_give_every_line_once(lines, ended, step, chunk):
+    data = b"\n".join(lines) + (b"\n" if ended else b"")
+    stored = b"head" + data + b"tail\n"
+    found = []
+    for lo in range(0, max(len(data), 1), step):
+        found += web_archives.split_lines(lambda at, n: stored[at : at + n], 4, len(data), lo, min(lo + step, len(data)), chunk)
+    assert found == [line for line in data.split(b"\n") if line]
+
+
+def test_directory_read_in_small_pieces():
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for i in range(50):
+            z.writestr(f"archive/{i}.warc", b"a" * i)
+    raw = data.getvalue()
+    read = lambda at, n: raw[at : at + n]
+    place = web_archives.directory_place(read, len(raw))
+    found = list(web_archives.directory_entries(read, *place, chunk=7))
+    with zipfile.ZipFile(data) as z:
+        assert found == [(i.filename, 0, i.file_size, i.header_offset) for i in z.infolist()]
+    with pytest.raises(ValueError):
+        list(web_archives.directory_entries(read, place[0], place[1] - 3, 0))
