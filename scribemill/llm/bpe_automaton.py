@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scribemill.llm.common import ByValue
 from scribemill.llm.vocabulary import Vocabulary, byte_letters, letters_of, read_vocabulary, special_pattern
 
 # Words a worker remembers; it starts anew beyond that.
@@ -217,7 +218,7 @@ def decoded_text(ids: Column, automaton) -> Column:
 
 
 def broadcast_automaton(spark, path: str):
-    return spark.sparkContext.broadcast(TokenAutomaton(read_vocabulary(path)))
+    return spark.sparkContext.broadcast(ByValue(TokenAutomaton(read_vocabulary(path))))
 
 
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:

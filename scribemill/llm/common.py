@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +65,13 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str, spread:
     joined = first.withColumn(meet, by).join(cold, F.col(meet) == F.col(cold_key), "left")
     either = F.coalesce(F.col(hot_values), F.col(cold_values))
     return joined.select(*left.columns, *[either[v].alias(v) for v in values])
+
+
+class ByValue:
+    """Wraps an object for a broadcast, so that its class travels along and workers need not have this package."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def __reduce__(self):
+        return cloudpickle.loads, (cloudpickle.dumps(self.value),)

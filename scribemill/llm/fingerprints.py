@@ -1,12 +1,15 @@
 """I-Match fingerprints: hashes of the terms that fall into randomised lexicons.
 
 The lexicon holds terms whose inverse document frequency, over all documents,
-lies in a band. Documents are counted per term, by its 63-bit hash, and the
-sorted hashes of the terms in the band go to all tasks: eight bytes a term, as
-many as the vocabulary has. Each of ``DRAWS`` random draws deals
+lies in a band: at least ``MIN_SHARE`` of the documents have the term, and two of
+them, and at most ``MAX_SHARE``. Documents are counted per term, by its 63-bit
+hash, and the sorted hashes of the terms in the band go to all tasks. A document
+with d distinct terms can lift d / (``MIN_SHARE`` * documents) of them over the
+edge, so the lexicon has at most mean d / ``MIN_SHARE`` terms at any size of the
+corpus, eight bytes each. Each of ``DRAWS`` random draws deals
 the lexicon into ``RATES`` subsets of a half, a quarter, an eighth and so on of
 its terms. A fingerprint has one hash per subset, over the sorted distinct terms
-that the text shares with it. The likeness of two fingerprints is the share of
+that the text shares with it: the sum of their mixed hashes, mixed once more. The likeness of two fingerprints is the share of
 equal hashes among the subsets that hit either text, counted over the rates at
 which a good part of the subsets hits neither: larger subsets differ as soon as
 one term does. Equal fingerprints have likeness 1.
@@ -37,14 +40,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribemill.llm.common import file_partitions, small_table
+from scribemill.llm.common import ByValue, file_partitions, small_table
 
 DRAWS = 12
 RATES = 10
 # A rate counts while at most this share of its subsets hits.
 MAX_HIT_SHARE = 0.75
 EMPTY = "----"
+# A cell without a hit, above all others.
+NO_HIT = 1 << 16
+_HEX = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
 MIN_DOCUMENTS = 2
+MIN_SHARE = 1e-4
 MAX_SHARE = 0.05
 REMEMBERED_TERMS = 1_000_000
 # Terms of documents that a task counts at a time.
@@ -112,7 +119,7 @@ class Lexicon:
         return int(self.holds(np.array([place], dtype=np.int64))[0])
 
 
-def lexicon_bits(texts: DataFrame, min_documents: int, max_share: float) -> Lexicon:
+def lexicon_bits(texts: DataFrame, min_documents: int, max_share: float, min_share: float = MIN_SHARE) -> Lexicon:
     """Whether each place is in the band. The places come to the driver packed, eight bytes a term in the band."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +129,8 @@ def lexicon_bits(texts: DataFrame, min_documents: int, max_share: float) -> Lexi
 
     counts = term_counts(texts).persist()
     documents = counts.where("place = -1").agg(F.sum("n")).first()[0] or 0
-    inside = counts.where((F.col("place") >= 0) & (F.col("n") >= min_documents) & (F.col("n") <= max(min_documents, max_share * documents)))
+    rarest = max(min_documents, min_share * documents)
+    inside = counts.where((F.col("place") >= 0) & (F.col("n") >= rarest) & (F.col("n") <= max(rarest, max_share * documents)))
     packed = [bytes(row["places"]) for row in inside.select("place").mapInArrow(pack, "places binary").collect()]
     counts.unpersist()
     return Lexicon(np.frombuffer(b"".join(packed), dtype=np.int64))
@@ -146,7 +154,8 @@ class Fingerprinter:
         self.known.update(zip(terms, values))
         return values
 
-    def of(self, text: str) -> str:
+    def cells(self, text: str) -> np.ndarray:
+        """The fingerprint as numbers, ``NO_HIT`` for a subset that has none of the text's terms."""
         terms, known = set(_terms(text.lower())), self.known
         values = set(map(known.get, terms))
         if None in values:
@@ -154,33 +163,57 @@ class Fingerprinter:
             values.update(self._places([term for term in terms if term not in known]))
         values.discard(0)
         if not values:
-            return hashlib.shake_128(text.encode("utf-8", "replace")).hexdigest(2 * DRAWS * RATES)
+            digest = hashlib.shake_128(text.encode("utf-8", "replace")).digest(2 * DRAWS * RATES)
+            return np.frombuffer(digest, dtype=">u2").astype(np.int32)
         hashed = np.sort(np.fromiter(values, dtype=np.uint64, count=len(values)))
         mixed = hashed[None, :] * self.factors[:, None]
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         # The number of leading zeros says which subset of the draw a term is in.
         subset = np.minimum(64 - np.frexp(mixed.astype(np.float64))[1], RATES - 1) + np.arange(DRAWS)[:, None] * RATES
-        subset = subset.ravel()
+        subset = subset.ravel().astype(np.uint8)
         order = np.argsort(subset, kind="stable")
-        data = np.tile(hashed, DRAWS)[order].tobytes()
-        ends = np.searchsorted(subset[order], np.arange(DRAWS * RATES + 1)) * 8
-        digest = xxhash.xxh3_64_hexdigest
-        return "".join([digest(data[lo:hi])[:4] if hi > lo else EMPTY for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())])
+        # Within a subset the terms stay sorted; the leading zeros are the same there, so the low half is mixed in.
+        mixed ^= mixed << np.uint64(29)
+        ordered = subset[order]
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        sums = np.add.reduceat(mixed.ravel()[order], starts)
+        sums ^= sums >> np.uint64(32)
+        sums *= np.uint64(0x9FB21C651E98DF25)
+        out = np.full(DRAWS * RATES, NO_HIT, dtype=np.int32)
+        out[ordered[starts]] = (sums >> np.uint64(48)).astype(np.int32)
+        return out
 
+    def of(self, text: str) -> str:
+        return as_text(self.cells(text))
 
-def likeness(a: str, b: str) -> float:
-    if a == b:
+
+def as_text(cells: np.ndarray) -> str:
+    """Four characters a cell: hexadecimal digits, or the mark of a cell without a hit."""
+    nibbles = (cells[:, None] >> np.array([12, 8, 4, 0])) & 15
+    digits = np.where(cells[:, None] == NO_HIT, ord(EMPTY[0]), _HEX[nibbles])
+    return digits.astype(np.uint8).tobytes().decode()
+
+
+def from_text(fingerprint: str) -> np.ndarray:
+    return np.array([NO_HIT if fingerprint[i] == EMPTY[0] else int(fingerprint[i : i + 4], 16) for i in range(0, len(fingerprint), 4)], dtype=np.int32)
+
+
+def cell_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    same = a == b
+    if same.all():
         return 1.0
-    cells = [(a[i : i + 4], b[i : i + 4]) for i in range(0, len(a), 4)]
-    sparse, every = [0, 0], [0, 0]
-    for rate in range(RATES):
-        hit = [x == y for x, y in cells[rate::RATES] if x != EMPTY or y != EMPTY]
-        for total in (every, sparse) if len(hit) <= MAX_HIT_SHARE * DRAWS else (every,):
-            total[0] += sum(hit)
-            total[1] += len(hit)
-    same, hits = sparse if sparse[1] else every
-    return same / hits if hits else 0.0
+    hit = ((a != NO_HIT) | (b != NO_HIT)).reshape(DRAWS, RATES)
+    hits, sames = hit.sum(axis=0), (hit & same.reshape(DRAWS, RATES)).sum(axis=0)
+    sparse = hits <= MAX_HIT_SHARE * DRAWS
+    if hits[sparse].any():
+        hits, sames = hits[sparse], sames[sparse]
+    return float(sames.sum() / hits.sum()) if hits.any() else 0.0
+
+
+def likeness(a: str, b: str) -> float:
+    """Of two fingerprints, from 0 to 1."""
+    return cell_likeness(from_text(a), from_text(b))
 
 
 def edited(text: str, following: str) -> str:
@@ -212,7 +245,7 @@ def _ranged(docs: DataFrame, ranges: int) -> DataFrame:
     )
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per document, see ``RESULT``."""
     spark = docs.sparkSession
     rows = docs.select(
@@ -220,7 +253,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         F.col(id_column).isNull().alias("no_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    maker = spark.sparkContext.broadcast(Fingerprinter(lexicon_bits(rows.select("text"), min_documents, max_share)))
+    maker = spark.sparkContext.broadcast(ByValue(Fingerprinter(lexicon_bits(rows.select("text"), min_documents, max_share, min_share))))
     tasks = file_partitions(spark)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,23 +265,23 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
         for batch in batches:
-            columns = [batch.column(i) for i in range(5)]
-            for i in range(batch.num_rows):
-                where, extra, number, no_id, body = (c[i].as_py() for c in columns)
-                current = (where, extra, None if no_id else number, body, own.of(body))
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for where, extra, number, no_id, body in zip(*columns, batch.column(4)):
+                body = body.as_py()
+                current = (where, extra, None if no_id else number, body, own.cells(body))
                 # An extra row only ends its range: the row before it is the last one there.
                 if held and held[0] == where and not held[1]:
                     new = edited(held[3], body)
-                    made = own.of(new)
+                    made = own.cells(new)
                     out.append(
                         (
                             held[2],
                             len(held[3]),
                             hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(),
-                            held[4],
-                            made,
-                            likeness(held[4], made),
-                            likeness(held[4], current[4]),
+                            as_text(held[4]),
+                            as_text(made),
+                            cell_likeness(held[4], made),
+                            cell_likeness(held[4], current[4]),
                         )
                     )
                 held = current

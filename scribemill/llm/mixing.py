@@ -92,16 +92,20 @@ def mix_sources(
     source: str = "source",
     weights: Sequence[int] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
+    keep: str | None = None,
 ) -> DataFrame:
     """One row per document: its id, source, size, source_size, target, copies and taken.
 
     ``copies`` is how often the mix takes the document, ``taken`` the words of these copies.
+    ``keep`` names a column that goes along, such as a number that tells rows of one id apart.
     """
+    extra = [] if keep is None else [keep]
     size = F.size(word_array(F.col("t"))).cast("long")
     keyed = (
-        docs.select(F.col(id_column).alias("id"), F.col(source).alias("s"), F.col(text).alias("t"))
-        .select("id", "s", "t", size.alias("size"))
+        docs.select(F.col(id_column).alias("id"), F.col(source).alias("s"), F.col(text).alias("t"), *extra)
+        .select("id", "s", "t", size.alias("size"), *extra)
         .select(
+            *extra,
             "id",
             F.coalesce("s", F.lit("")).alias("source"),
             F.col("s").isNull().alias("no_source"),
@@ -136,4 +140,5 @@ def mix_sources(
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
+        *extra,
     )

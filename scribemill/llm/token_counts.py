@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scribemill.llm.common import ByValue
 from scribemill.llm.vocabulary import Vocabulary, byte_letters, read_vocabulary, special_pattern
 
 REMEMBERED_WORDS = 1_000_000
@@ -109,7 +110,7 @@ def token_count(text: Column, counter) -> Column:
 
 def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row per document: its id, n_bytes, n_tokens and over_limit."""
-    counter = docs.sparkSession.sparkContext.broadcast(MergeCounter(read_vocabulary(path)))
+    counter = docs.sparkSession.sparkContext.broadcast(ByValue(MergeCounter(read_vocabulary(path))))
     return docs.select(
         F.col(id_column),
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),

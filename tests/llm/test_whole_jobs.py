@@ -88,4 +88,61 @@ def test_pipeline_stage_takes_longer_shingles(spark):
     changed = [f"other{i}" if i % 20 == 7 else w for i, w in enumerate(words)]
     docs = table(spark, [(1, " ".join(words), "en", "a"), (2, " ".join(changed), "en", "a")])
     left = lambda **n: sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "", **n).collect())
-    assert (left(), left(shingle_words=5)) == ([1], [1, 2])
+    assert (left(shingle_words=2), left()) == ([1], [1, 2])
+
+
+def test_pipeline_keeps_rows_of_one_id_with_different_texts(spark):
+    texts = [(1, prose(3, 200)), (1, prose(40, 200)), (2, prose(77, 200)), (2, prose(3, 200)), (3, prose(40, 200)), (3, prose(40, 200)), (None, prose(3, 200))]
+    docs = table(spark, [(i, t, "en", "a") for i, t in texts]).repartition(3)
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(((r.doc_id is None, r.doc_id, r.text) for r in left), key=str) == sorted(
+        [(False, 1, prose(3, 200)), (False, 1, prose(40, 200)), (False, 2, prose(77, 200)), (True, None, prose(3, 200))], key=str
+    )
+
+
+def test_pipeline_mixes_rows_without_an_id_by_their_own_count(spark):
+    rows = [(None if i % 2 else i // 10, prose(i, 20 + i), "en", "a" if i < 20 else "b") for i in range(60)]
+    docs = table(spark, rows)
+    taken, sizes = {"a": 0, "b": 0}, {"a": 0, "b": 0}
+    for r in corpus_pipeline.mixing_stage(spark, docs, "").collect():
+        taken[r.source] += len(r.text.split())
+    for _, text, _, source in rows:
+        sizes[source] += len(text.split())
+    first = min(3 * sizes["a"], sum(sizes.values()) * 5 / 7)
+    want = {"a": first, "b": sum(sizes.values()) - first}
+    assert all(abs(taken[s] - want[s]) <= 80 for s in want)
+
+
+def test_broadcast_objects_need_no_package_on_workers(spark):
+    """What is broadcast loads in a process that cannot import this library."""
+    import pickle
+    import subprocess
+    import sys
+
+    import public_tokenizers
+
+    from scribemill.llm.bpe_automaton import TokenAutomaton
+    from scribemill.llm.common import ByValue
+    from scribemill.llm.token_counts import MergeCounter
+    from scribemill.llm.vocabulary import read_vocabulary
+
+    code = (
+        "import sys, pickle; sys.modules['scribemill'] = None; own = pickle.load(sys.stdin.buffer);"
+        "print(own.text('some words here') if hasattr(own, 'text') else len(own.cells('some words here')) if hasattr(own, 'cells') else type(own).__name__)"
+    )
+    made = [
+        (MergeCounter(read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))), "3"),
+        (fingerprints.Fingerprinter(fingerprints.Lexicon(np.arange(5, dtype=np.int64))), str(fingerprints.DRAWS * fingerprints.RATES)),
+        (TokenAutomaton(read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))), "TokenAutomaton"),
+    ]
+    for value, want in made:
+        run = subprocess.run([sys.executable, "-c", code], input=pickle.dumps(ByValue(value)), capture_output=True, cwd="/", env={"PATH": "/usr/bin"}, timeout=60)
+        assert run.stdout.decode().strip() == want, run.stderr.decode()[-500:]
+
+
+def test_lexicon_edge_grows_with_the_corpus(spark):
+    docs = table(spark, [(i, f"common rare{i // 2} some{i // 10}", "en", "a") for i in range(40)])
+    place = lambda t: fingerprints.term_hash(t) & fingerprints.PLACE
+    for share, want in ((1e-4, [1, 1, 0]), (0.1, [0, 1, 0]), (0.3, [0, 0, 0])):
+        inside = fingerprints.lexicon_bits(docs.select("text"), 2, 0.5, share)
+        assert [inside[place(t)] for t in ("rare3", "some2", "common")] == want
