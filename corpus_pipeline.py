@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribemill.llm.bpe_automaton import encode_documents
-from scribemill.llm.common import documents, fresh
+from scribemill.llm.common import documents, fresh, join_counted
 from scribemill.llm.mixing import mix_sources
-from scribemill.llm.neardup import SHINGLE_WORDS, near_duplicates
+from scribemill.llm.neardup import near_duplicates
 from scribemill.llm.quality import MAX_PHRASE_WORDS, quality_rules
 from scribemill.llm.secrets import redact_documents
 from scribemill.session import stage
 
+# Words of a shingle in the near-duplicate stage; the query of that operator has its own.
+NEAR_SHINGLE_WORDS = 5
 # Ids, or ids with a number, are broadcast up to this many rows and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
 
@@ -37,26 +39,39 @@ def _with_text(docs: DataFrame, text: str) -> list:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines that break a rule are cut from the others. A phrase of page furniture condemns short lines only."""
+    """Rejected documents go; lines that break a rule are cut from the others. A phrase of page furniture condemns short lines only.
+
+    Rows are judged one by one: a null or empty text is rejected, repeated rows fare alike. No rows give no rows.
+    """
     prefix = fresh("quality")
     kept = quality_rules(docs, prefix=prefix, max_phrase_words=MAX_PHRASE_WORDS).where(f"{prefix}kept")
     return kept.select(*_with_text(docs, f"{prefix}clean_text"))
 
 
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """One document of each group stays, the one with the smallest id. Documents without an id all stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), shingle_words=shingle_words)
-    gone = stage(found.where("not kept").select("doc_id").distinct(), "gone")
-    left = docs.join(_small(gone), "doc_id", "left_anti")
-    repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return left
-    once = left.join(_small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(_small(repeated), "doc_id", "left_anti").unionByName(once)
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """The documents with a number of their own, which tells rows of one id apart. Written down, so that it stays."""
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle_words: int = NEAR_SHINGLE_WORDS) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Rows count one by one: rows of one id with different texts belong to
+    different groups, repeated rows to one, of which one row stays. Rows without an id
+    all stay, and are no group's document. Texts that are null or without words are in no group. No rows give no rows.
+    """
+    row = fresh("row")
+    rows = _numbered(docs, row)
+    found = near_duplicates(rows.select(row, "text"), row, shingle_words=shingle_words).select(row, "component_id")
+    named = stage(found.join(rows.where("doc_id is not null").select(row, "doc_id"), row), "named")
+    groups = named.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", row)).alias("first"))
+    groups = stage(groups.where("n > 1").select("component_id", "n", F.col(f"first.{row}").alias("stays")), "groups")
+    gone = join_counted(named, groups, "component_id", "n", row).where(F.col("stays") != F.col(row)).select(row)
+    return rows.join(_small(stage(gone, "gone")), row, "left_anti").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; every document stays."""
+    """Secrets are masked in the texts; every row stays, null and empty texts as they are."""
     before = fresh("before")
     masked = redact_documents(docs.withColumn(before, F.col("text")))
     text = fresh("text")
@@ -64,18 +79,20 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it. Rows of equal id, source and size are all taken as often as the most taken one."""
-    taken = mix_sources(docs.select("doc_id", "text", "source")).where("copies > 0")
-    key = ["doc_id", "source"]
-    names = {c: fresh(c) for c in [*key, "copies"]}
-    copies = stage(taken.groupBy(*key).agg(F.max("copies").alias("copies")).withColumnsRenamed(names), "copies")
-    same = [docs[c].eqNullSafe(F.col(names[c])) for c in key]
-    repeats = F.explode(F.sequence(F.lit(1), F.col(names["copies"]).cast("int")))
-    return docs.join(_small(copies), same).select(*docs.columns, repeats.alias(fresh("copy"))).select(*docs.columns)
+    """Every document as often as the mix takes it, each row by its own count.
+
+    A null text has no words and is not taken; rows without a source are a source of their own. No rows give no rows.
+    """
+    row, copies = fresh("row"), fresh("copies")
+    rows = _numbered(docs, row)
+    taken = mix_sources(rows.select("doc_id", "text", "source", row), keep=row).where("copies > 0")
+    taken = stage(taken.select(row, F.col("copies").cast("int").alias(copies)), "copies")
+    repeats = F.explode(F.sequence(F.lit(1), F.col(copies)))
+    return rows.join(_small(taken), row).select(*docs.columns, repeats.alias(fresh("copy"))).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Counts and digests of the token ids and of the decoded texts."""
+    """Counts and digests of the token ids and of the decoded texts, one row for each row; a null text counts as empty."""
     return encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
