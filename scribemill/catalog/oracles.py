@@ -316,3 +316,4 @@ FROM conversations GROUP BY conv_id""",
     "answer_bytes_stream": """
 SELECT conv_id AS request_id, text AS token FROM conversations WHERE role <> 'system' AND length(text) > 0""",
 }
+ORACLES["resumed_pairs"] = ORACLES["generated_pairs"]

@@ -88,7 +88,7 @@ def exact_sample(spark, sf):
 @query
 def exact_sample_by_bound(spark, sf):
     docs = i.table(spark, sf, "documents")
-    return corpus.exact_sample(docs, SAMPLE, 7, "doc_id").select("doc_id", "lang")
+    return corpus.exact_sample(docs, SAMPLE, 7, "doc_id", top_rows=0).select("doc_id", "lang")
 
 
 @query
@@ -315,6 +315,17 @@ def generated_pairs(spark, sf):
     return pairs.pair_rows(run.parsed, ["position"])
 
 
+@query
+def resumed_pairs(spark, sf):
+    """The same by a run that stops after some parts and is taken up again."""
+    docs = i.titled_documents(spark, sf).withColumn("date", F.col("lang"))
+    asked = pairs.prompts(docs.withColumn("text", ft.clean_text(F.col("text"))), TEMPLATE)
+    folder = new_path(spark, "run")
+    pairs.generate_in_parts(asked, digest_generator, ["seq"], folder, parts=3, parallelism=8, max_parts=1)
+    answered = pairs.generate_in_parts(asked, digest_generator, ["seq"], folder, parallelism=8)
+    return pairs.pair_rows(dense_index(pairs.parse_pairs(answered, ["seq"]), "seq", key_bits=45), ["position"])
+
+
 @query
 def stored_responses(spark, sf):
     stored = i.responses(spark, sf).where(F.col("response").isNotNull()).withColumn("doc_id", _turn_key())

@@ -9,6 +9,8 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scribemill.functions.answers import let
+
 # Bracketed stage notes removed from transcripts, in this order.
 STAGE_NOTES = ("applause", "laughter", "crosstalk")
 # Limits of the corpus and of one generation prompt, in characters.
@@ -118,32 +120,57 @@ def chat_text(instruction: Column, output: Column) -> Column:
 def py_float_text(c: Column) -> Column:
     """A double as Python prints it: the fewest digits that read back as the same number.
 
-    Positional from 1e-4 up to 1e16, else in the ``1e-05`` style.
+    Positional from 1e-4 up to 1e16, else in the ``1e-05`` style. A double has at
+    most one decimal of up to 15 digits, so where Spark's text has no more it is the
+    shortest; otherwise 15, 16 and 17 digits are tried. Numbers near zero have fewer digits to begin with.
     """
+
     def shortest(digits: range) -> Column:
         forms = [F.format_string(f"%.{n}e", c) for n in digits]
-        return F.coalesce(*[F.when(form.cast("double") == c, form) for form in forms], forms[-1])
-
-    # Any number of up to 15 digits is printed with these; numbers near zero have fewer digits to begin with.
-    text = F.when(F.abs(c) < 2.3e-308, shortest(range(17))).otherwise(shortest(range(14, 17)))
-    part = lambda g: F.regexp_extract(text, r"^(-?)(\d)\.?(\d*?)0*e([+-]\d+)$", g)
-    sign, lead, exp = part(1), part(2), part(4).try_cast("int")
-    fraction = part(3)
-    digits = F.concat(lead, fraction)
-    padded = F.rpad(digits, 33, "0")
-    tail = F.regexp_replace(padded.substr(exp + 2, F.lit(33)), "(?<=.)0+$", "")
-    power = F.concat(
-        F.when(exp < 0, "-").otherwise("+"),
-        F.when(F.abs(exp) < 10, "0").otherwise(""),
-        F.abs(exp).cast("string"),
-    )
-    mantissa = F.concat(lead, F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+        return F.coalesce(*[F.when(form.cast("double") == c, form) for form in forms[:-1]], forms[-1])
+
+    def mantissa(text: Column) -> Column:
+        return F.translate(F.split_part(F.lower(text), F.lit("e"), F.lit(1)), "-", "")
+
+    def trimmed(digits: Column) -> Column:
+        return F.rtrim(F.ltrim(digits, F.lit("0")), F.lit("0"))
+
+    def chosen(plain: Column) -> Column:
+        short = F.length(trimmed(F.translate(mantissa(plain), ".", ""))) <= 15
+        return F.when(F.abs(c) < 2.3e-308, shortest(range(17))).when(short, plain).otherwise(shortest(range(14, 17)))
+
+    def places(text: Column) -> Column:
+        parts = F.split(mantissa(text), "[.]")
+        power = F.coalesce(F.split_part(F.lower(text), F.lit("e"), F.lit(2)).try_cast("int"), F.lit(0))
+        digits = F.concat(parts[0], F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
+        return F.struct(digits.alias("digits"), (F.length(parts[0]) - 1 + power).alias("power"))
+
+    def leading(place: Column) -> Column:
+        zeros = F.length(place["digits"]) - F.length(F.ltrim(place["digits"], F.lit("0")))
+        return F.struct(trimmed(place["digits"]).alias("digits"), (place["power"] - zeros).alias("power"))
+
+    def printed(number: Column) -> Column:
+        digits, power = number["digits"], number["power"]
+        sign = F.when(c < 0, "-").otherwise("")
+        size = F.abs(power).cast("string")
+        size = F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size)
+        more = F.substring(digits, 2, 400)
+        whole, rest = F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.substring(digits, power + 2, F.lit(400))
+        return (
+            F.when((power >= -4) & (power < 0), F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+            .when((power >= 0) & (power < 16), F.concat(sign, whole, F.lit("."), F.when(rest == "", "0").otherwise(rest)))
+            .otherwise(
+                F.concat(
+                    sign, F.substring(digits, 1, 1), F.when(more == "", "").otherwise(F.concat(F.lit("."), more)),
+                    F.when(power < 0, "e-").otherwise("e+"), size,
+                )
+            )
+        )
+
     return (
         F.when(F.isnan(c), "nan")
         .when(c == float("inf"), "inf")
         .when(c == float("-inf"), "-inf")
         .when(c == 0.0, F.when(c.cast("string").startswith("-"), "-0.0").otherwise("0.0"))
-        .when((exp >= -4) & (exp < 0), F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits))
-        .when((exp >= 0) & (exp < 16), F.concat(sign, padded.substr(F.lit(1), exp + 1), F.lit("."), tail))
-        .otherwise(F.concat(sign, mantissa, F.lit("e"), power))
+        .otherwise(let(let(let(let(c.cast("string"), chosen), places), leading), printed))
     )

@@ -87,17 +87,35 @@ def corpus_totals(df: DataFrame, title: str = "title") -> DataFrame:
     )
 
 
-def exact_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+# Up to this many sampled rows the tasks keep their own smallest hashes; beyond it the bound is found by counting.
+TOP_ROWS = 10_000
+
+
+def exact_sample(df: DataFrame, n: int, seed: int, key: str, top_rows: int = TOP_ROWS) -> DataFrame:
     """Exactly ``n`` rows without replacement; all rows when ``n <= 0`` or ``n`` exceeds the table.
 
     Rows are ranked by a hash of seed and the unique ``key``, so the same seed
     picks the same rows on any cluster. A null key, or a key that stands twice
-    where the sample ends, fails the job.
+    where the sample ends, fails the job. The rows themselves are filtered by
+    the bound and never shuffled. Up to ``top_rows`` rows the bound comes from one
+    scan of the keys, of which a task keeps ``n``; both ways pick the same rows.
     """
     if n <= 0:
         return df
     known = F.coalesce(F.col(key).cast("string"), F.raise_error(F.lit(f"sample key {key} is null")).cast("string"))
-    return _below_rank(df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), known))), n, key).drop("__h")
+    ranked = df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), known)))
+    picked = _up_to_nth(ranked, n, key) if n <= top_rows else _below_rank(ranked, n, key)
+    return picked.drop("__h")
+
+
+def _up_to_nth(ranked: DataFrame, n: int, key: str) -> DataFrame:
+    """The ``n`` rows with the smallest hash, by the smallest ``n + 1`` of all."""
+    top = ranked.select("__h", key).orderBy("__h", key).limit(n + 1)
+    edge = top.agg(F.slice(F.sort_array(F.collect_list(F.struct("__h", key))), n, 2).alias("e")).select("e").scalar()
+    last, following = F.get(edge, F.lit(0)), F.get(edge, F.lit(1))
+    twice = F.raise_error(F.lit(f"sample key {key} is not unique")).cast("boolean")
+    # There is no bound when the table has fewer than n rows.
+    return ranked.where(F.when(last.isNull(), F.lit(True)).when(last.eqNullSafe(following), twice).otherwise(F.struct("__h", key) <= last))
 
 
 def _below_rank(ranked: DataFrame, n: int, key: str) -> DataFrame:

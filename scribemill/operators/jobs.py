@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scribemill.functions.text import py_float_text
-from scribemill.operators.skew import spread_join
 
 # Statuses that end a job, and the registry key prefix.
 TRAINING_TERMINAL = ("Completed", "Failed", "Stopped")
@@ -119,6 +118,10 @@ def upsert(table: DataFrame | None, puts: DataFrame, keys: Sequence[str] = ("job
     return rows.withColumn("__r", F.row_number().over(latest)).where(F.col("__r") == 1).drop("__r", order)
 
 
+# Width of the time buckets in which polls are summed up.
+POLL_BUCKET_SECONDS = 3600
+
+
 def first_terminal(
     polls: DataFrame,
     terminal: Sequence[str] = TRAINING_TERMINAL,
@@ -128,34 +131,42 @@ def first_terminal(
     poll_id: str = "poll_id",
     status: str = "status",
     reason: str = "reason",
+    bucket_seconds: int = POLL_BUCKET_SECONDS,
 ) -> DataFrame:
     """Per job the first terminal status, the polls up to it, and the error of a failed job.
 
     A job without a terminal status is ``Running`` and all its polls count.
+    Polls without a time come first. Polls are read once: those of a job in one
+    span of time make a summary, its polls, its first end and the polls up to that, and the
+    summaries of a job are put together in time order. So a job with all the polls is spread over its time.
     """
     at = F.struct(F.col(ts).alias("ts"), F.col(poll_id).alias("id"))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    span = F.coalesce(F.call_function("div", micros, F.lit(bucket_seconds * 1_000_000)), F.lit(-(2**63)))
+    ended = F.col(status).isin(*terminal)
     # As the field of a struct, a null job id is equal to itself.
-    polls = polls.withColumn("__j", F.struct(F.col(job).alias("j")))
-    ends = (
-        polls.where(F.col(status).isin(*terminal))
-        .groupBy("__j")
-        .agg(F.min(at).alias("__until"), F.min_by(F.struct(status, reason), at).alias("__end"))
-    )
-    seen = spread_join(
-        polls.select("__j", at.alias("__at")), ends.select("__j", "__until"), ["__j"], "left", spread_by="__at"
+    rows = polls.select(
+        F.struct(F.col(job).alias("j")).alias("__j"), span.alias("__b"), at.alias("__at"), F.when(ended, F.col(status)).alias("__s"),
+        F.when(ended, F.col(reason)).alias("__r"),
+    )
+    # Ordered without a row frame, the count takes in polls of the same time and id.
+    upto = F.count(F.lit(1)).over(Window.partitionBy("__j", "__b").orderBy("__at"))
+    end = F.when(F.col("__s").isNotNull(), F.struct("__at", "__s", "__r", "__upto"))
+    spans = rows.withColumn("__upto", upto).groupBy("__j", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min(end).alias("__end"))
+    first = F.min(F.when(F.col("__end").isNotNull(), F.col("__b"))).over(Window.partitionBy("__j"))
+    counted = F.when(F.col("__first").isNull() | (F.col("__b") < F.col("__first")), F.col("__n")).when(
+        F.col("__b") == F.col("__first"), F.col("__end.__upto")
     )
-    n_polls = (
-        seen.where(F.col("__until").isNull() | (F.col("__at") <= F.col("__until")))
-        .groupBy("__j")
-        .agg(F.count(F.lit(1)).alias("polls"))
+    folded = spans.withColumn("__first", first).groupBy("__j").agg(
+        F.sum(counted).alias("polls"), F.max(F.when(F.col("__b") == F.col("__first"), F.col("__end"))).alias("__end")
     )
-    outcome = F.coalesce(F.col("__end")[status], F.lit("Running"))
-    return n_polls.join(ends, "__j", "left").select(
+    outcome = F.coalesce(F.col("__end.__s"), F.lit("Running"))
+    return folded.select(
         F.col("__j.j").alias(job),
         outcome.alias("status"),
-        F.col("__until.ts").alias("ended_at"),
+        F.col("__end.__at.ts").alias("ended_at"),
         "polls",
-        F.when(outcome == failed, F.coalesce(F.col("__end")[reason], F.lit(UNKNOWN))).alias("error"),
+        F.when(outcome == failed, F.coalesce(F.col("__end.__r"), F.lit(UNKNOWN))).alias("error"),
     )
 
 

@@ -58,6 +58,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return _given[-1]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that path, in any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [status.getPath().getName() for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+
+
 def cleanup(spark: SparkSession) -> None:
     """Remove every staged table of this process. Results that still read one must have been written or collected."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path

@@ -154,3 +154,20 @@ def test_corpus_build_follows_the_stages(spark):
     assert {tuple(r) for r in result.counts.collect()} == {("a", 4, 0), ("b", 4, 1)}
     assert tuple(result.totals.first()) == (5, 4)
     assert result.unique.where("title = 'One'").first().text.startswith("1 word")
+
+
+def test_samples_by_the_smallest_and_by_counting_are_the_same(spark):
+    df = spark.range(3000).withColumnRenamed("id", "k").repartition(5)
+    for n in (1, 200, 2999, 3000, 4000):
+        one, two = ({r.k for r in corpus.exact_sample(df, n, 5, "k", top_rows=top).collect()} for top in (10_000, 0))
+        assert one == two and len(one) == min(n, 3000)
+
+
+@pytest.mark.parametrize("top_rows", [10_000, 0])
+def test_sample_keys_must_be_known_and_unique(spark, top_rows):
+    df = spark.range(100).withColumnRenamed("id", "k")
+    with pytest.raises(Exception, match="is null"):
+        corpus.exact_sample(df.unionByName(spark.createDataFrame([(None,)], "k long")), 5, 1, "k", top_rows=top_rows).collect()
+    same = spark.createDataFrame([(1,)] * 9, "k long")
+    with pytest.raises(Exception, match="not unique"):
+        corpus.exact_sample(same, 5, 1, "k", top_rows=top_rows).collect()

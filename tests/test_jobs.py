@@ -83,3 +83,35 @@ def test_a_null_job_id_is_a_job(spark):
     )
     got = {r.job_id: (r.status, r.polls, r.error) for r in jobs.first_terminal(df).collect()}
     assert got == {None: ("Failed", 2, "why"), "a": ("Running", 1, None)}
+
+
+def test_spans_of_any_width_fold_to_the_same_ends(spark):
+    import random
+
+    rng = random.Random(9)
+    rows, want = [], {}
+    for job in ["hot"] + [f"j{i}" for i in range(30)] + [None]:
+        n, t = (600 if job == "hot" else rng.randrange(1, 12)), 0
+        seen, end = 0, None
+        for i in range(n):
+            t += rng.choice([0, 1, 700, 4000, 90_000])
+            status = rng.choices(["InProgress", "Completed", "Failed"], [50 if job == "hot" else 6, 1, 1])[0]
+            why = rng.choice([None, "why"])
+            rows.append((job, AT + datetime.timedelta(seconds=t), i, status, why))
+            if end is None:
+                seen += 1
+                if status != "InProgress":
+                    end = (status, rows[-1][1], (why or "Unknown") if status == "Failed" else None)
+        want[job] = (*(end or ("Running", None, None)), seen)
+    df = spark.createDataFrame(rows, "job_id string, ts timestamp, poll_id long, status string, reason string").repartition(4)
+    for width in (1, 3600, 10**9):
+        got = {r.job_id: (r.status, r.ended_at, r.error, r.polls) for r in jobs.first_terminal(df, bucket_seconds=width).collect()}
+        assert got == want
+
+
+def test_polls_without_a_time_come_first_and_equal_ones_count(spark):
+    rows = [("a", None, 1, "InProgress", None), ("a", AT, 2, "Failed", "x"), ("a", AT, 2, "InProgress", None), ("b", None, 1, "Completed", None)]
+    df = spark.createDataFrame(rows, "job_id string, ts timestamp, poll_id long, status string, reason string")
+    assert {(r.job_id, r.status, r.polls, r.error) for r in jobs.first_terminal(df).collect()} == {("a", "Failed", 3, "x"), ("b", "Completed", 1, None)}
+    plan = jobs.first_terminal(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
