@@ -60,6 +60,16 @@ def index_rows(source: Source) -> DataFrame:
     return listing_rows(until_first_gap(parsed)).drop("source")
 
 
+def wanted_pages(articles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The HTML of the pages in ``wanted`` (page_id, wanted), which has one row per page.
+
+    Beyond the broadcast limit both sides are shuffled, but HTML only of pages that may be
+    wanted: from the condition on ``wanted`` Spark makes a Bloom filter of its page ids and applies it
+    where the pages are read (thresholds in ``build_session``). Page ids are unique, so no task gets a large share.
+    """
+    return articles.select("page_id", "html").join(wanted.where(F.size("wanted") > 0), "page_id")
+
+
 def build_corpus(sources: Sequence[Source], articles: DataFrame, min_chars: int = MIN_TEXT_CHARS) -> Corpus:
     """Records of all sources in order, and the same with only the first of every title.
 
@@ -82,8 +92,7 @@ def build_corpus(sources: Sequence[Source], articles: DataFrame, min_chars: int
     located = stage(spread_join(kept, first_captures(articles), ["url"], spread_by="seq"), "located")
     # Only pages that a kept row points at are parsed, each with the selectors of its own sites.
     wanted = stage(located.groupBy("page_id").agg(F.collect_set("source").alias("wanted")), "wanted")
-    needed = spread_join(articles.select("page_id", "html"), wanted, ["page_id"], spread_by="page_id")
-    texts = body_texts(needed, {s.name: s.body for s, _ in found}, min_chars=min_chars, wanted="wanted")
+    texts = body_texts(wanted_pages(articles, wanted), {s.name: s.body for s, _ in found}, min_chars=min_chars, wanted="wanted")
     raw = stage(attach_text(located, texts, ["source", "page_id"]).select("seq", *RECORD), "raw-records")
     return Corpus(
         raw=raw,

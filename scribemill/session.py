@@ -25,6 +25,9 @@ def build_session(app_name: str = "scribemill", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Documents can be long, so Python workers get small batches.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        # A list of keys larger than what is broadcast still goes ahead of a large scan as a Bloom filter.
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1g",
         # Timers and times to live of stream state need this store.
         STATE_STORE_KEY: STATE_STORE,
         **conf,

@@ -171,3 +171,21 @@ def test_sample_keys_must_be_known_and_unique(spark, top_rows):
     same = spark.createDataFrame([(1,)] * 9, "k long")
     with pytest.raises(Exception, match="not unique"):
         corpus.exact_sample(same, 5, 1, "k", top_rows=top_rows).collect()
+
+
+def test_a_long_list_of_wanted_pages_filters_the_html_where_it_is_read(spark, tmp_path):
+    from scribemill.plans.corpus import wanted_pages
+
+    spark.range(4000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 30).alias("html")).write.parquet(f"{tmp_path}/pages")
+    spark.range(200).select((F.col("id") * 19).alias("page_id"), F.array(F.lit("a")).alias("wanted")).write.parquet(f"{tmp_path}/wanted")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = wanted_pages(spark.read.parquet(f"{tmp_path}/pages"), spark.read.parquet(f"{tmp_path}/wanted"))
+        assert df.count() == 200
+        assert "might_contain" in df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
