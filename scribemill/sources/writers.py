@@ -101,8 +101,8 @@ def _versions(spark: SparkSession, base: str) -> list[int]:
     )
 
 
-# Buckets of a record table, fixed by its first put. Each holds a hash range of the keys.
-BUCKETS = 64
+# Buckets of a record table by default, fixed by its first put; a large table wants more. Each holds the keys of one hash remainder.
+BUCKETS = 16
 _BUCKET = "bucket__"
 
 
