@@ -123,7 +123,9 @@ def py_float_text(c: Column) -> Column:
     Positional from 1e-4 up to 1e16, else in the ``1e-05`` style. A double has at
     most one decimal of up to 15 digits, so where Spark's text has no more it is the
     shortest; otherwise 15, 16 and 17 digits are tried. Numbers near zero have fewer digits to begin with.
+    Between 1e-3 and 1e7 Spark's text is positional too, and a short one is taken as it is.
     """
+    usual = (F.abs(c) >= 1e-3) & (F.abs(c) < 1e7) & (F.length(c.cast("string")) <= 16)
 
     def shortest(digits: range) -> Column:
         forms = [F.format_string(f"%.{n}e", c) for n in digits]
@@ -168,7 +170,8 @@ def py_float_text(c: Column) -> Column:
         )
 
     return (
-        F.when(F.isnan(c), "nan")
+        F.when(usual, c.cast("string"))
+        .when(F.isnan(c), "nan")
         .when(c == float("inf"), "inf")
         .when(c == float("-inf"), "-inf")
         .when(c == 0.0, F.when(c.cast("string").startswith("-"), "-0.0").otherwise("0.0"))
