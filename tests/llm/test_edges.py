@@ -219,6 +219,27 @@ def test_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_chats_spread_rows_without_id_or_number(spark):
+    texts = [f"{(i * 7919) % 20011:05d} " + "long " * (20_000 if i == 5 else 1) for i in range(12_000)]
+    rows = [(None, None, "user", t) for t in texts] + [(k, 0, "user", texts[k]) for k in range(300)] + [(None, 3, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would become one task
+    try:
+        ordered = chat.sorted_turns(df, "conv_id", "turn", "role", "text")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    nobody = ordered.where(F.col("id") == chat.NO_ID)
+    assert nobody.select(F.shiftright("row", 33)).distinct().count() > 1
+    assert ordered.groupBy("id", "block").count().agg(F.max("count")).first()[0] <= chat.BUCKET_TURNS
+    placed = chat.placed_turns(ordered, chat.block_shifts(ordered)).where(F.col("id") == chat.NO_ID)
+    assert [r.text for r in sorted(placed.select("at", "text").collect())] == [None, *sorted(texts)]
+    assert sorted(r.at for r in placed.select("at").collect()) == list(range(1, 12_002))
+    got = {(r.conv_id, r.part): r for r in chat.format_chats(df).collect()}
+    assert len(got) == 188 + 300 and {r.n_turns for r in got.values()} == {1, 12_001}
+    whole = "".join(got[None, part].rendered for part in range(188))
+    assert whole == "".join(f"<|user|>\n{t}<|end|>\n" for t in ["", *sorted(texts)])
+
+
 def test_licenses(spark, awkward, nothing):
     mit = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 500)
     changed = "Copyright (c) 2020 Someone\n\n" + mit.replace("sublicense", "sub-licence").replace(",", " ;").upper() + "\n"
