@@ -14,8 +14,9 @@ ascending order of size per weight.
 
 Scale: texts are read once and reduced to a small table of keys, which is staged.
 Running totals are taken per bucket of the key, with sums of buckets before
-them, so a source of any share is spread over many tasks. Only the table of
-sources, one row each, meets in one task.
+them on two levels, so a source of any share is spread over many tasks; whatever the weights, no
+bucket is expected to hold more than twice the mean. Sources must be few: the table of
+sources, one row each, meets in one task. Rows of one id share a key, so their number must be moderate.
 
 Defined results: a null or blank text has size 0 and is never taken; a null
 source is a source of its own and ranks last. Rows with equal ids get equal keys
@@ -35,15 +36,17 @@ from scribemill.session import stage
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-# Rows of one bucket of keys, on average, in the largest source.
-BUCKET_ROWS = 2_000
+# Rows of one bucket of keys, on average, in the largest source, and buckets whose sums are added up in one window.
+BUCKET_ROWS, FAN = 2_000, 10_000
+# The smallest quality weight; the largest is 1.
+LEAST_WEIGHT = 0.5
 SYMBOLS = "[#*$%&|<>]"
 
 
 def quality_weight(text: Column, size: Column) -> Column:
     """Between 0.5 and 1: lower the more symbols a text has per word."""
     symbols = F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))
-    return F.lit(1.0) - F.lit(0.5) * F.least(F.lit(1.0), F.coalesce(symbols, F.lit(0)).cast("double") / F.greatest(size, F.lit(1)).cast("double"))
+    return F.lit(1.0) - F.lit(1.0 - LEAST_WEIGHT) * F.least(F.lit(1.0), F.coalesce(symbols, F.lit(0)).cast("double") / F.greatest(size, F.lit(1)).cast("double"))
 
 
 def uniform(key: Column) -> Column:
@@ -118,12 +121,19 @@ def mix_sources(
     sums = stage(keyed.groupBy(*part).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources")
     largest = sums.agg(F.max("n")).first()[0] or 0
     buckets = max(1, -(-largest // BUCKET_ROWS))
-    # Keys of weight-1 documents are exponential, so this spreads them evenly.
-    placed = keyed.withColumn("b", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("int"))
-    before = Window.partitionBy(*part).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    # A key of weight w is beyond k with probability exp(-k w). Where 1 - exp(-k LEAST_WEIGHT) cuts the buckets, those of the
+    # least weight are spread evenly, and larger weights put at most 1 / LEAST_WEIGHT times the mean into one.
+    even = F.lit(1.0) - F.exp(-F.col("key") * LEAST_WEIGHT)
+    placed = keyed.withColumn("b", F.floor(even * buckets))
+    cells = placed.groupBy(*part, "b").agg(F.sum("size").alias("size")).withColumn("fan", F.call_function("div", "b", F.lit(FAN)))
+    before_fan = Window.partitionBy(*part).orderBy("fan").rowsBetween(Window.unboundedPreceding, -1)
+    fans = cells.groupBy(*part, "fan").agg(F.sum("size").alias("size")).select(
+        *part, "fan", F.coalesce(F.sum("size").over(before_fan), F.lit(0)).alias("fans_before")
+    )
+    before = Window.partitionBy(*part, "fan").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy(*part, "b").agg(F.sum("size").alias("size"))
-        .select(*part, "b", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+        cells.join(fans, [*part, "fan"])
+        .select(*part, "b", (F.col("fans_before") + F.coalesce(F.sum("size").over(before), F.lit(0))).alias("before"))
         .join(source_targets(sums.drop("n"), weights, max_epochs), part)
     )
     within = Window.partitionBy(*part, "b").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)

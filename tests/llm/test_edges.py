@@ -297,3 +297,23 @@ def test_pipeline_stages(spark, awkward, nothing):
             # A row without an id is never taken out as a copy.
             assert ids["minhash_near_dedup"] == ids["secret_scans"] == Counter([5, 6, None, -5, 2**62])
             assert set(ids["mixing_sources"]) <= set(ids["secret_scans"])
+
+
+@pytest.mark.parametrize("symbols", [0, 1])
+def test_mix_buckets_stay_even_for_any_weight(spark, symbols):
+    key = -F.log(mixing.uniform(F.col("id"))) / mixing.quality_weight(F.lit("# " * symbols + "w"), F.lit(1))
+    even = F.lit(1.0) - F.exp(-key * mixing.LEAST_WEIGHT)
+    counts = spark.range(200_000).groupBy(F.floor(even * 100)).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert counts[0] <= 2.2 * 2_000 and counts[1] == 100
+
+
+def test_mix_adds_up_buckets_on_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(mixing, "FAN", 7)
+    docs = table(spark, [(i, "# " * (i % 3) + "word " * (1 + i % 9), "en", "ab"[i % 5 == 0]) for i in range(4_000)])
+    taken = {tuple(r) for r in mixing.mix_sources(docs).collect()}
+    monkeypatch.undo()
+    assert taken == {tuple(r) for r in mixing.mix_sources(docs).collect()}
+    for source in "ab":
+        of = [r for r in spark.createDataFrame(sorted(taken), mixing.mix_sources(docs).schema).where(F.col("source") == source).collect()]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= max(r["size"] for r in of)
