@@ -37,7 +37,7 @@ from scribemill.session import stage
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 # Rows of one bucket of keys, on average, in the largest source, and buckets whose sums are added up in one window.
-BUCKET_ROWS, FAN = 2_000, 10_000
+BUCKET_ROWS, FAN = 500, 10_000
 # The smallest quality weight; the largest is 1.
 LEAST_WEIGHT = 0.5
 SYMBOLS = "[#*$%&|<>]"
