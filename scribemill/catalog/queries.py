@@ -11,7 +11,7 @@ from scribemill.catalog import inputs as i
 from scribemill.functions import answers as fa
 from scribemill.functions import text as ft
 from scribemill.operators import answers, corpus, extract, jobs, pairs, requests, trainset
-from scribemill.operators.prefix import dense_index, dense_index_by
+from scribemill.operators.prefix import dense_index, dense_index_by, order_rows
 from scribemill.plans import corpus as corpus_plan
 from scribemill.plans import serving, training
 from scribemill.session import new_path
@@ -74,8 +74,8 @@ def corpus_totals(spark, sf):
 @query
 def union_order(spark, sf):
     both, accepted = _two_sources(spark, sf)
-    key = corpus.order_key(F.col("source_rank"), F.col("seq"), F.lit(0))
-    ordered = both.where(accepted).select("source", F.col("seq").alias("doc_id"), key.alias("key"))
+    rows = both.where(accepted).select("source", "source_rank", F.col("seq").alias("doc_id"))
+    ordered = order_rows(rows, ["source_rank", "doc_id"], "key").drop("source_rank")
     return dense_index(ordered, "key", key_bits=corpus.SEQ_BITS).drop("key")
 
 

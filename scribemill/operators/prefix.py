@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scribemill.session import shared_dir
+from scribemill.session import shared_dir, stage
 
 # Keys per lowest bucket (2**13) and buckets per next level (2**20). A window
 # then never sees more than 8,192 keys or a million bucket sums, whatever the table size.
@@ -94,6 +94,17 @@ def dense_index(df: DataFrame, order: str, name: str = "position", key_bits: int
     return running_sums(df, order, {name: F.lit(1).cast("long")}, key_bits=key_bits)
 
 
+def order_rows(df: DataFrame, order: Sequence[str], name: str = "seq") -> DataFrame:
+    """Add a long that sorts like the ``order`` columns, whatever their types and widths; nulls come first.
+
+    The rows are sorted by range and written down, so the numbers stay: those of one range follow
+    one another without gaps, and ranges are far apart. Rows that are equal in ``order`` get different
+    numbers in any order. ``order`` should be short: samples of it go to the driver.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(placed.withColumn(name, F.monotonically_increasing_id()), "ordered")
+
+
 def dense_index_by(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """0-based position by any order columns, for keys that are not one long.
 

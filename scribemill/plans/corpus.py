@@ -15,7 +15,6 @@ from scribemill.operators.corpus import (
     first_captures,
     first_per_title,
     numbered_first_per_title,
-    order_key,
     source_counts,
     union_sources,
 )
@@ -27,6 +26,7 @@ from scribemill.operators.extract import (
     parse_listings,
     until_first_gap,
 )
+from scribemill.operators.prefix import order_rows
 from scribemill.operators.skew import spread_join
 from scribemill.session import stage
 
@@ -82,10 +82,7 @@ def build_corpus(sources: Sequence[Source], articles: DataFrame, min_chars: int
     for s, _ in found:
         if s.accepts:
             accepted = F.when(F.col("source") == s.name, s.accepts(F.col("title"))).otherwise(accepted)
-    index = stage(
-        index.withColumns({"seq": order_key(F.col("source_rank"), F.col("page_no"), F.col("row_no")), "accepted": accepted}),
-        "index",
-    )
+    index = order_rows(index.withColumn("accepted", accepted), ["source_rank", "page_no", "row_no"], "seq")
     kept = index.where("accepted").drop("accepted")
     # Addresses are resolved to page ids first, so each text moves at most once:
     # not at all when the staged index is small enough to broadcast.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scribemill.functions.text import title_matches
 from scribemill.operators import corpus
 from scribemill.operators.extract import CardListing, TableListing
-from scribemill.operators.prefix import dense_index, dense_index_by, running_sums
+from scribemill.operators.prefix import dense_index, dense_index_by, order_rows, running_sums
 from scribemill.operators.skew import small_enough, spread_join
 from scribemill.plans.corpus import Source, build_corpus, numbered
 
@@ -53,6 +53,21 @@ def test_both_sample_forms_pick_the_same_rows(spark):
     assert a == {r.k for r in corpus.exact_sample(df, 200, 5, "k").collect()}
 
 
+def test_ordered_rows_of_any_width(spark):
+    rng = random.Random(8)
+    wide = [None, -(2**63), -1, 0, 127, 128, 2**35, 2**63 - 1]
+    rows = [(f"s{rank:04d}", rng.choice(wide), row) for rank in range(300) for row in rng.sample([*wide[1:], None], 5)]
+    df = spark.createDataFrame(rows, "a string, b long, c long").repartition(7)
+    ordered = order_rows(df, ["a", "b", "c"], "k")
+    known = lambda v: (v is not None, v or 0)
+    got = [tuple(r) for r in sorted(ordered.collect(), key=lambda r: r.k)]
+    assert len({r[3] for r in got}) == len(rows)
+    assert [r[:3] for r in got] == sorted(rows, key=lambda r: (r[0], known(r[1]), known(r[2])))
+    placed = {r.k: r.position for r in dense_index(ordered, "k").collect()}
+    assert [placed[r[3]] for r in got] == list(range(len(rows)))
+    assert order_rows(df.limit(0), ["a", "b"], "k").count() == 0
+
+
 @pytest.mark.parametrize("key_bits", [45, 63])
 def test_running_sums_over_sparse_keys_and_partitions(spark, key_bits):
     rng = random.Random(2)
