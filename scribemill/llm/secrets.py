@@ -28,6 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scribemill.llm.common import fresh
 from scribemill.session import stage
 
 LABELLED_ROWS = 6_000
@@ -227,7 +228,8 @@ def redacted(text: Column, secrets: Column, mask: str = MASK) -> Column:
 
 def redact_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = "source", **options) -> DataFrame:
     """The rows with secrets masked in their texts; all other columns stay."""
-    names = docs.columns
-    found = stage(scan_secrets(docs, id_column, text, path, **options).where("n_secrets > 0").select(F.col(id_column).alias("__id"), F.col("secrets").alias("__secrets")), "secrets")
-    joined = docs.join(found, docs[id_column].eqNullSafe(found["__id"]), "left")
-    return joined.select(*[redacted(docs[c], F.col("__secrets")).alias(c) if c == text else docs[c] for c in names])
+    key, values = fresh("id"), fresh("secrets")
+    found = scan_secrets(docs, id_column, text, path, **options).where("n_secrets > 0")
+    found = stage(found.select(F.col(id_column).alias(key), F.col("secrets").alias(values)), "secrets")
+    joined = docs.join(found, docs[id_column].eqNullSafe(found[key]), "left")
+    return joined.select(*[redacted(docs[c], F.col(values)).alias(c) if c == text else docs[c] for c in docs.columns])

@@ -317,3 +317,14 @@ def test_mix_adds_up_buckets_on_two_levels(spark, monkeypatch):
     for source in "ab":
         of = [r for r in spark.createDataFrame(sorted(taken), mixing.mix_sources(docs).schema).where(F.col("source") == source).collect()]
         assert abs(sum(r.taken for r in of) - of[0].target) <= max(r["size"] for r in of)
+
+
+def test_masking_leaves_columns_of_any_name(spark):
+    text = 'token = "' + "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" + '"'
+    rows = [(1, text, "mine", 7), (2, "nothing here", None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __secrets string, __id long")
+    out = secrets.redact_documents(df, path=None)
+    assert out.columns == df.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[1]["__secrets"], got[1]["__id"], got[2].text) == ("mine", 7, "nothing here")
+    assert got[1].text == f'token = "{secrets.MASK}"'
