@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -55,6 +56,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _local_path(uri: str) -> str:
+    path = uri.removeprefix("file:")
+    return os.path.normpath("/" + path.lstrip("/"))
+
+
+def is_shared(spark: SparkSession, uri: str) -> bool:
+    """Whether driver and executors see the same files at ``uri``.
+
+    On a cluster a POSIX path is shared below the folder of ``shared_dir`` and in the warehouse.
+    Stores of other schemes are taken to be shared, and one machine shares all.
+    """
+    master = spark.sparkContext.master
+    if not uri.startswith(("/", "file:")) or master == "local" or master.startswith("local["):
+        return True
+    roots = [shared_dir(spark), spark.conf.get("spark.sql.warehouse.dir")]
+    return any(_local_path(uri).startswith(f"{_local_path(r)}/") for r in roots if r.startswith(("/", "file:")))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh, unused path in the shared folder."""
     _given.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")

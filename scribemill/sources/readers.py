@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from scribemill.functions.text import py_strip
 from scribemill.operators.corpus import exact_sample
+from scribemill.session import stage
 
 SPEECH_SCHEMA = "title string, date string, source string, url string, text string"
 PAIR_SCHEMA = "instruction string, input string, output string"
@@ -107,7 +108,7 @@ def list_files(spark: SparkSession, path: str, glob: str = JSONL_GLOB) -> DataFr
     """Column ``file`` of the files under ``path`` whose name fits ``glob``; contents are not read. A folder without one fails."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     listed = files.select(F.col("_metadata.file_path").alias("file"))
-    if listed.isEmpty():
+    if not listed.take(1):  # isEmpty would run over all of them
         raise FileNotFoundError(f"no file {glob} under {path}")
     return listed
 
@@ -125,7 +126,9 @@ def read_sampled_files(
     if n <= 0:
         return read_jsonl(spark, path, schema, glob)
     below = F.split_part("file", F.lit("/" + path.rstrip("/").rsplit("/", 1)[-1] + "/"), F.lit(-1))
-    chosen = exact_sample(list_files(spark, path, glob).withColumn("name", below), n, seed, "name").select("file")
+    # The sample takes several passes, which over the folder would be a task for every few files each.
+    listed = stage(list_files(spark, path, glob).withColumn("name", below).repartition("file"), "listed")
+    chosen = exact_sample(listed, n, seed, "name").select("file")
     scan = _lines(spark, path, glob)
     if n <= MAX_PATH_LIST:
         scan = scan.where(F.col("_metadata.file_path").isin([row.file for row in chosen.collect()]))  # at most n names

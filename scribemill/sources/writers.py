@@ -14,7 +14,7 @@ from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from scribemill.operators.jobs import upsert
-from scribemill.session import stage
+from scribemill.session import is_shared, stage
 
 FILES_PER_BUCKET = 8192
 _KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -63,13 +63,12 @@ def pair_lines(pairs: Column) -> Column:
 def put_files(df: DataFrame, uri: str, position: str = "position", content: str = "content") -> None:
     """Small-output mode: one file ``{position:05d}.jsonl`` per row under ``uri``.
 
-    Tasks write to any file system Arrow knows (local, S3, HDFS, GCS). Name
+    Tasks write to any file system Arrow knows (S3, HDFS, GCS, and POSIX folders
+    that are shared: below ``spark.checkpoint.dir`` or in the warehouse). Name
     and content depend on the row alone, so a repeated task rewrites the same
     bytes. For large corpora use ``write_numbered``.
     """
-
-    local = uri.startswith(("/", "file:"))
-    if local and not df.sparkSession.sparkContext.master.startswith("local["):
+    if not is_shared(df.sparkSession, uri):
         raise ValueError("executors would write to their own disks; name a shared file system")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

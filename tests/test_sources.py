@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +135,18 @@ def test_one_file_per_record_and_gaps_for_documents_without_pairs(spark, tmp_pat
     assert (tmp_path / "one" / "00007.jsonl").read_text() == '{"title":"t","date":null}\n'
 
 
+def test_files_of_a_cluster_go_to_the_shared_folder_only(spark, tmp_path, monkeypatch):
+    folder = new_path(spark, "files")
+    df = spark.range(3).select(F.col("id").alias("position"), F.lit("x\n").alias("content"))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    for uri in (folder, f"file://{folder}"):
+        writers.put_files(df, uri)
+    assert sorted(os.listdir(folder)) == ["00000.jsonl", "00001.jsonl", "00002.jsonl"]
+    for uri in (str(tmp_path / "own"), f"file://{tmp_path}/own", f"{shared_dir(spark)}-not", f"{shared_dir(spark)}/../own"):
+        with pytest.raises(ValueError, match="shared"):
+            writers.put_files(df, uri)
+
+
 def test_keyed_puts_replace_rows_and_version_the_table(spark, tmp_path):
     base = str(tmp_path / "records")
     assert readers.read_pages is not None and writers.read_records(spark, base) is None
