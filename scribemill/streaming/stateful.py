@@ -28,6 +28,7 @@ from scribemill.operators.requests import RATE_LIMIT
 # How long a job or an answer without news is remembered.
 JOB_IDLE_SECONDS = 7 * 86_400
 ANSWER_IDLE_SECONDS = 3_600
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def _sorted_rows(frames: Iterator[pd.DataFrame], columns: list[str], by: list[str]) -> pd.DataFrame:
@@ -63,35 +64,56 @@ def admit(t: np.ndarray, start: int | None, used: int, limit: int, width: int, a
 
 
 class _Limiter(StatefulProcessor):
-    """State: start of the caller's window and calls in it, until the window is over."""
+    """State of a bucket of callers: start of each caller's window and calls in it, until the window is over.
 
-    def __init__(self, by: str, request_id: str, limit: int, width: int, anchored: bool):
-        self.by, self.request_id, self.limit, self.width, self.anchored = by, request_id, limit, width, anchored
+    Callers are taken by the bucket because a call of a state step costs far more than a caller's rows do.
+    """
+
+    def __init__(self, by: str, kind: str, request_id: str, limit: int, width: int, anchored: bool):
+        self.by, self.kind, self.request_id, self.limit, self.width, self.anchored = by, kind, request_id, limit, width, anchored
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "start long, used long")
+        self.windows = handle.getMapState("windows", f"caller {self.kind}", "start long, used long")
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = _sorted_rows(rows, [self.by, self.request_id, "__ts", "__t"], ["__t", self.request_id])
-        before, used = self.window.get() or (None, 0)
-        admitted, start, used = admit(frame["__t"].to_numpy(), before, used, self.limit, self.width, self.anchored)
-        self.window.update((start, used))
-        if start != before:
-            self.handle.registerTimer(_ms(start + self.width))
-        yield pd.DataFrame({self.by: _plain(list(frame[self.by])), self.request_id: _plain(list(frame[self.request_id])), "admitted": admitted})
+        frame = _sorted_rows(rows, ["__bucket", self.by, self.request_id, "__none", "__ts", "__t"], ["__t", "__none", self.request_id])
+        codes, callers = pd.factorize(frame[self.by], use_na_sentinel=False)
+        order = np.argsort(codes, kind="stable")
+        ends = np.cumsum(np.bincount(codes)).tolist()
+        t, admitted, starts = frame["__t"].to_numpy()[order], np.empty(len(frame), dtype=bool), []
+        for caller, lo, hi in zip(callers.tolist(), [0, *ends], ends):
+            who = (None if pd.isna(caller) else caller,)
+            before, used = self.windows.getValue(who) or (None, 0)
+            admitted[order[lo:hi]], start, used = admit(t[lo:hi], before, used, self.limit, self.width, self.anchored)
+            self.windows.updateValue(who, (start, used))
+            starts.append(start)
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(_ms(min(starts) + self.width))
+        ids = _plain(list(frame[self.request_id])).mask(frame["__none"].to_numpy(), None)
+        yield pd.DataFrame({self.by: _plain(list(frame[self.by])), self.request_id: ids, "admitted": admitted})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        window = self.window.get()
-        # The timer of an earlier window may fire while a later one runs.
-        if window and _ms(window[0] + self.width) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.window.clear()
+        """Windows that are over go. The next look is a width later, so a window stays for one width too long at most."""
+        now = timerValues.getCurrentWatermarkInMs()
+        found = [(tuple(who), _ms(window[0] + self.width) <= now) for who, window in self.windows.iterator()]
+        if all(over for _, over in found):
+            self.windows.clear()
+            return iter(())
+        for who, over in found:
+            if over:
+                self.windows.removeKey(who)
+        self.handle.registerTimer(now + _ms(self.width))
         return iter(())
 
     def close(self) -> None:
         pass
 
 
+# Buckets of callers in the state of a rate limit. Fixed for the life of a stream; those of a task are taken one after the other.
+CALLER_BUCKETS = 1024
+
+
 def rate_limit_stream(
     calls: DataFrame,
     limit: int = RATE_LIMIT,
@@ -101,17 +123,24 @@ def rate_limit_stream(
     ts: str = "ts",
     request_id: str = "request_id",
     delay: str = "1 minute",
+    buckets: int = CALLER_BUCKETS,
 ) -> DataFrame:
     """(caller, request_id, admitted) per call.
 
     ``anchored`` windows start at the caller's first call, otherwise windows are
     calendar-aligned. A call without a time is not admitted, and keeps no state.
+    The rows of a bucket in one trigger meet in memory, so a stream of very many callers wants more ``buckets``.
     """
     when = F.col(ts).cast("timestamp")
     kind = {c: calls.schema[c].dataType.simpleString() for c in (by, request_id)}
-    timed = calls.where(F.col(ts).isNotNull()).select(by, request_id, when.alias("__ts"), F.unix_micros(when).alias("__t"))
-    marked = timed.withWatermark("__ts", delay).groupBy(by).transformWithStateInPandas(
-        _Limiter(by, request_id, limit, window_seconds * 1_000_000, anchored),
+    # A null would make the whole numbers beside it inexact: no id is a mark, and calls without a caller have a bucket of their own.
+    known = F.coalesce(F.col(request_id), F.lit(0).cast(kind[request_id])) if kind[request_id] in INTEGERS else F.col(request_id)
+    bucket = F.when(F.col(by).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(by), F.lit(buckets))).cast("int")
+    timed = calls.where(F.col(ts).isNotNull()).select(
+        bucket.alias("__bucket"), by, known.alias(request_id), F.col(request_id).isNull().alias("__none"), when.alias("__ts"), F.unix_micros(when).alias("__t")
+    )
+    marked = timed.withWatermark("__ts", delay).groupBy("__bucket").transformWithStateInPandas(
+        _Limiter(by, kind[by], request_id, limit, window_seconds * 1_000_000, anchored),
         f"`{by}` {kind[by]}, `{request_id}` {kind[request_id]}, admitted boolean",
         "Append",
         "EventTime",

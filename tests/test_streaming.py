@@ -40,6 +40,27 @@ def test_rate_limit(spark, tmp_path):
     assert {(r.request_id, r.admitted) for r in calendar.collect()} == {(r.request_id, r.admitted) for r in batch.collect()}
 
 
+def test_rate_limit_of_many_callers_in_few_groups(spark, tmp_path):
+    """Numbers as callers and ids, some null and some beyond the exact doubles, which all meet in a bucket or two."""
+    n = F.col("id")
+    big = F.lit(2**60)
+    caller = F.when(n % 10 != 0, n % 10 + big)
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (n * 7_300_000))
+    calls = spark.range(600).select(caller.alias("caller"), at.alias("ts"), F.when(n % 50 != 7, n + big).alias("request_id"))
+    want, open_until = [], {}
+    for r in calls.orderBy("ts").collect():
+        end, used = open_until.get(r.caller, (0, 0))
+        t = r.ts.timestamp()
+        end, used = (t + 100, 0) if t >= end else (end, used)
+        open_until[r.caller] = (end, used + 1)
+        want.append((r.caller, r.request_id, used < 1))
+    parts = [calls.where(n) for n in ("ts < '2024-01-01 00:20:00'", "ts >= '2024-01-01 00:20:00' and ts < '2024-01-01 00:50:00'", "ts >= '2024-01-01 00:50:00'")]
+    for buckets in (1, 3):
+        got = run(spark, str(tmp_path / f"b{buckets}"), parts, lambda s: stateful.rate_limit_stream(s, 1, 100, buckets=buckets), calls.schema)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        assert {r.caller for r in got.collect()} == {None, *(2**60 + i for i in range(1, 10))}
+
+
 def test_first_terminal(spark, tmp_path):
     df = polls(spark, SEQUENCES)
     parts = [df.where("poll_id = 0"), df.where("poll_id between 1 and 2"), df.where("poll_id > 2")]
